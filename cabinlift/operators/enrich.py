@@ -136,11 +136,11 @@ def join_flights(
             return matched(some, F.broadcast(few.select(*right.columns)), [])
         dealt = some.join(sizes, on_left).select(
             *some.columns,
-            F.pmod(F.xxhash64(*some.columns), F.col("_salts")).alias("_salt"),
+            F.pmod(F.xxhash64(*some.columns), F.col("_salts")).cast("int").alias("_salt"),
         )
         repeated = few.select(
             *right.columns,
-            F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).cast("bigint").alias("_r_salt"),
+            F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_r_salt"),
         )
         return matched(dealt, repeated, ["_salt"])
 

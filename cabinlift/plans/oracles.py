@@ -368,6 +368,15 @@ ORACLES = {
         FROM totals UNION ALL SELECT 1.0::DOUBLE, 0.0::DOUBLE, NULL"""),
     "average_precision": _with("totals", """
         SELECT round(sum(hits::DOUBLE / p * (tp::DOUBLE / (tp + fp))), 9) AS average_precision FROM totals"""),
+    "run_summary": _with("uniq", f"""
+        SELECT {len(S.MODEL_FEATURES)}::INTEGER AS n_features,
+               '{",".join(S.MODEL_FEATURES)}' AS features,
+               '{",".join(S.CATEGORICAL_FEATURES)}' AS categorical_features,
+               count(*) FILTER (travel_date < TIMESTAMP '2000-01-01') AS train_rows,
+               count(*) FILTER (travel_date >= TIMESTAMP '2000-01-01') AS test_rows,
+               'AUC' AS eval_metric, 8::INTEGER AS iterations, 4::INTEGER AS depth,
+               0.1::DOUBLE AS learning_rate, 128::INTEGER AS max_bins, 42::INTEGER AS seed
+        FROM uniq"""),
     "score_histogram": _with("scored", """
         , spans AS (SELECT label, min(score) AS lo, max(score) AS hi FROM scored GROUP BY label),
         edges AS (SELECT label, b::INTEGER AS bin, b * ((hi - lo) / 100) + lo AS bin_from,

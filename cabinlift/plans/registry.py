@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from cabinlift.operators import (
     features,
     groups,
     hygiene,
+    learn,
     snapshots,
     timeline,
 )
@@ -250,3 +252,52 @@ def average_precision(spark, sf_dir):
 @query
 def score_histogram(spark, sf_dir):
     return evaluate.score_histogram(demo.scored(spark, sf_dir))
+
+
+# Small enough to fit within a check run; the job's defaults are larger.
+FIT = learn.Params(iterations=8, depth=4)
+_models: dict[tuple[str, str], PipelineModel] = {}
+
+
+def _table(spark, sf_dir):
+    return demo.once(spark, sf_dir, "features", lambda: learn.training_table(
+        demo.unique_offers(spark, sf_dir), demo.TEST_FROM
+    ))
+
+
+def _model(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        _models[key] = learn.fit(_table(spark, sf_dir), FIT)
+    return _models[key]
+
+
+@query
+def gbt_scored(spark, sf_dir):
+    test = _table(spark, sf_dir).filter(F.col("split") == "test")
+    return learn.score(_model(spark, sf_dir), test)
+
+
+@query
+def gbt_metrics(spark, sf_dir):
+    return evaluate.threshold_metrics(gbt_scored(spark, sf_dir))
+
+
+@query
+def gbt_importance(spark, sf_dir):
+    return learn.importance_table(_model(spark, sf_dir), spark)
+
+
+@query
+def gbt_loss_curve(spark, sf_dir):
+    return learn.loss_curve(_model(spark, sf_dir), _table(spark, sf_dir))
+
+
+@query
+def gbt_auc_curve(spark, sf_dir):
+    return learn.auc_curve(_model(spark, sf_dir), _table(spark, sf_dir))
+
+
+@query
+def run_summary(spark, sf_dir):
+    return learn.run_summary(_table(spark, sf_dir), FIT)
