@@ -1,4 +1,8 @@
-"""Expressions on zone-less timestamps."""
+"""Expressions on zone-less timestamps.
+
+Only operations that stay zone-less are used: ``timestamp_diff`` and
+``date_trunc`` would pass through the session time zone and its clock changes.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NTZ = "timestamp_ntz"
-MICROS_PER_DAY = 86_400_000_000.0
+SECONDS_PER_DAY = 86_400.0
 
 
 def to_ntz(text: Column, strict: bool = True) -> Column:
@@ -22,32 +26,27 @@ def month_start(ts: Column) -> Column:
     return F.trunc(ts.cast("date"), "month").cast(NTZ)
 
 
-def micros_between(earlier: Column, later: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", earlier, later)
-
-
 def days_between(earlier: Column, later: Column) -> Column:
-    return micros_between(earlier, later) / F.lit(MICROS_PER_DAY)
+    """Seconds first, then days, as two divisions."""
+    seconds = (later - earlier).cast("interval second").cast("decimal(18,6)").cast("double")
+    return seconds / F.lit(SECONDS_PER_DAY)
 
 
 def midpoint(earlier: Column, later: Column) -> Column:
     """Halfway instant in whole microseconds, rounded toward ``earlier``.
 
-    Dividing an interval by two rounds half up, which would turn a gap of one
-    microsecond into its right end.
+    Halving an interval rounds half up, so the half is taken off ``later``:
+    added to ``earlier``, a gap of one microsecond would give its right end.
     """
-    half = F.floor(micros_between(earlier, later) / F.lit(2)).cast("bigint")
-    return F.timestamp_add("MICROSECOND", half, earlier)
+    return later - (later - earlier) / F.lit(2)
 
 
 def minus_minutes(ts: Column, minutes: Column) -> Column:
     """Subtract a possibly fractional or negative number of minutes."""
-    micros = F.round(minutes.cast("double") * F.lit(60_000_000.0)).cast("bigint")
-    return F.timestamp_add("MICROSECOND", -micros, ts)
+    seconds = (minutes * F.lit(60)).cast("decimal(18,6)")
+    return ts - F.make_dt_interval(secs=seconds)
 
 
 def shifted(ts: Column, from_clock: Column, to_clock: Column) -> Column:
     """Move ``ts`` by the distance between two clocks."""
-    return F.timestamp_add("MICROSECOND", micros_between(from_clock, to_clock), ts)
-
-
+    return ts + (to_clock - from_clock)

@@ -39,9 +39,12 @@ def heavy_groups(
 ) -> DataFrame | None:
     """The groups above ``heavy_rows`` with their sizes, or None if there are none.
 
-    Counting combines on the map side; at most ``MAX_HEAVY`` rows reach the
-    driver.
+    A table that fits one task has none; its count comes from the file footers
+    or the filtered columns. Counting combines on the map side; at most
+    ``MAX_HEAVY`` rows reach the driver.
     """
+    if df.count() <= heavy_rows:
+        return None
     sizes = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias(GROUP_ROWS))

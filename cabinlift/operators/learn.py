@@ -6,7 +6,7 @@ from dataclasses import asdict, dataclass, fields
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,8 +102,13 @@ def fit(table: DataFrame, params: Params = Params()) -> PipelineModel:
             outputCols=[f"{name}_target" for name in wide],
             labelCol="label", targetType="binary", handleInvalid="keep", smoothing=1.0,
         )
-        stages.append(encoder.fit(indexer.transform(train)))
-        indexed |= {name: f"{name}_target" for name in wide}
+        # The encoder marks its rates as categories; an expression makes them numbers.
+        rates = ", ".join(f"{name}_target + 0.0D AS {name}_rate" for name in wide)
+        stages += [
+            encoder.fit(indexer.transform(train)),
+            SQLTransformer(statement=f"SELECT *, {rates} FROM __THIS__"),
+        ]
+        indexed |= {name: f"{name}_rate" for name in wide}
     plain = [_plain(name) for name in S.MODEL_FEATURES]
     stages.append(VectorAssembler(
         inputCols=[indexed.get(name, name) for name in plain], outputCol="features"

@@ -66,11 +66,11 @@ def turning_points(df: DataFrame, heavy: bool, after_last_reading: str, strict:
         point(decision, 2, left=F.col("lives")),
         *[point(F.col(name), 4 << i) for i, name in enumerate(S.EVENT_LOCAL)],
     )
-    inside = F.filter(points, lambda p: p["ts"] <= F.col("end_ts"))
     reading = asof.reading_at(F.col("p.ts"), S.SCHEDULE, AFTER_LAST[after_last_reading])
     return (
         placed.withColumn("enters", enters).withColumn("lives", lives)
-        .select(*K, *S.EVENT_LOCAL, F.explode(inside).alias("p"))
+        .select(*K, *S.EVENT_LOCAL, "end_ts", F.explode(points).alias("p"))
+        .filter(F.col("p.ts") <= F.col("end_ts"))
         .select(*K, "p.*", reading.alias("reading"))
         .groupBy(*K, "ts")
         .agg(

@@ -61,11 +61,13 @@ def _timeline_side(df: DataFrame, heavy: bool) -> DataFrame:
         *[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("ts")) for kind in kinds],
         F.struct(F.lit("start_time").alias("kind"), lead_in(F.col("start_ts")).alias("ts")),
     )
-    inside = F.filter(
-        moments,
-        lambda m: (m["kind"] == "start_time") | m["ts"].between(F.col("start_ts"), F.col("end_ts")),
+    inside = (F.col("kind") == "start_time") | F.col("ts").between(F.col("start_ts"), F.col("end_ts"))
+    return (
+        placed.select(*K, "start_ts", "end_ts", F.inline(moments))
+        .filter(inside)
+        .select(*K, "kind", "ts")
+        .dropDuplicates()
     )
-    return placed.select(*K, F.explode(inside).alias("m")).select(*K, "m.*").dropDuplicates()
 
 
 def auction_timeline(df: DataFrame, heavy_rows: int = hot.HEAVY_ROWS) -> DataFrame:

@@ -33,17 +33,17 @@ def query(build: Query) -> Query:
 
 @query
 def flights_typed(spark, sf_dir):
-    return enrich.typed_flights(demo.flights(spark, sf_dir))
+    return enrich.typed_flights(demo.raw_flights(spark, sf_dir))
 
 
 @query
 def flights_dedup(spark, sf_dir):
-    return enrich.dedup_flights(enrich.typed_flights(demo.flights(spark, sf_dir)))
+    return enrich.dedup_flights(enrich.typed_flights(demo.raw_flights(spark, sf_dir)))
 
 
 @query
 def offers_typed(spark, sf_dir):
-    return enrich.typed_offers(demo.offers(spark, sf_dir)).select(
+    return enrich.typed_offers(demo.raw_offers(spark, sf_dir)).select(
         "id", "carrier_code", "flight_number", "offer_status", "travel_dt", "travel_date",
         "travel_year", "travel_month", "travel_dow",
     )
@@ -51,7 +51,7 @@ def offers_typed(spark, sf_dir):
 
 @query
 def cabin_recode(spark, sf_dir):
-    typed = enrich.typed_offers(demo.offers(spark, sf_dir))
+    typed = enrich.typed_offers(demo.raw_offers(spark, sf_dir))
     recoded = enrich.short_cabins(enrich.plain_cabins(typed))
     return recoded.select("id", "from_cabin", "upgrade_type")
 
@@ -59,7 +59,7 @@ def cabin_recode(spark, sf_dir):
 @query
 def offers_enriched(spark, sf_dir):
     return enrich.enriched_offers(
-        demo.flights(spark, sf_dir), demo.offers(spark, sf_dir)
+        demo.raw_flights(spark, sf_dir), demo.raw_offers(spark, sf_dir)
     ).select(*ENRICHED_COLUMNS)
 
 

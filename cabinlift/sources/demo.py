@@ -37,7 +37,7 @@ def _plus(ts: Column, unit: str, amount: Column | int) -> Column:
 
 
 def _quarter_start(ts: Column) -> Column:
-    return F.date_trunc("quarter", ts).cast("timestamp_ntz")
+    return F.trunc(ts.cast("date"), "quarter").cast("timestamp_ntz")
 
 
 def _departure(travel_date: Column, flight: Column) -> Column:
@@ -144,7 +144,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "offer_status",
         F.concat(F.lit("K"), (no % 5).cast("string")).alias("operating_carrier"),
         no.cast("string").alias("operating_flight_num"),
-        F.date_format("day", "yyyy-MM-dd").alias("travel_dt"),
+        F.col("day").cast("date").cast("string").alias("travel_dt"),
         F.concat(F.lpad((6 + no % 16).cast("string"), 2, "0"), F.lit(":30")).alias("dep_tm"),
         F.when(F.col("l_linestatus") == "O", "ECONOMY")
         .otherwise("REGIONAL_PREMIUM_ECONOMY").alias("from_cabin"),
@@ -171,11 +171,20 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The source is one file; spread the rows, as a large table's files would be.
+    return once(spark, sf_dir, "flights", lambda: flights(spark, sf_dir).repartition("flight_number"))
+
+
+def raw_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "offers", lambda: offers(spark, sf_dir).repartition("id"))
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Output of the enrichment job, written once."""
     return once(
         spark, sf_dir, "enriched",
-        lambda: enrich.enriched_offers(flights(spark, sf_dir), offers(spark, sf_dir)),
+        lambda: enrich.enriched_offers(raw_flights(spark, sf_dir), raw_offers(spark, sf_dir)),
     )
 
 
