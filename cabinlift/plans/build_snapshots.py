@@ -15,7 +15,7 @@ from cabinlift.functions.times import month_start
 from cabinlift.operators import hot, hygiene, snapshots
 from cabinlift.session import build_session
 from cabinlift.sources import tables
-from cabinlift.sources.shared import drop_written, written
+from cabinlift.sources.shared import scratch, written
 
 MIN_TRAVEL_DATE = "2025-05-01"
 
@@ -37,14 +37,15 @@ def build_snapshots(
 
 
 def run(spark: SparkSession, source: str, output: str, min_travel_date: str | None, **flags) -> None:
-    result = build_snapshots(tables.read_snapshot_input(spark, source, strict=False), min_travel_date, **flags)
-    if output.endswith(".csv"):
-        tables.write_csv(result, output)
-    else:
+    with scratch(spark):
+        offers = tables.read_snapshot_input(spark, source, strict=False)
+        result = build_snapshots(offers, min_travel_date, **flags)
+        if output.endswith(".csv"):
+            tables.write_csv(result, output)
+            return
         # Files by month; the hint merges small and splits large month partitions.
         by_month = result.withColumn("travel_month_start", month_start(F.col("travel_date")).cast("date"))
         tables.write_parquet(by_month.hint("rebalance", "travel_month_start"), output, ["travel_month_start"])
-    drop_written(spark)
 
 
 def main() -> None:

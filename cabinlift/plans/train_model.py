@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cabinlift.operators import evaluate, learn
 from cabinlift.session import build_session
 from cabinlift.sources import tables
-from cabinlift.sources.shared import drop_written, written
+from cabinlift.sources.shared import scratch, written
 
 TEST_FROM = "2025-05-01"
 
@@ -35,20 +35,20 @@ def evaluation_tables(scored: DataFrame) -> dict[str, DataFrame]:
 def run(
     spark: SparkSession, source: str, output: str, params: learn.Params, test_from: str = TEST_FROM
 ) -> PipelineModel:
-    offers = tables.read_training_input(spark, source)
-    table = written(learn.training_table(offers, test_from, keep=[]), "features")
-    model = learn.fit(table, params)
-    model.write().overwrite().save(f"{output}/model")
-    scored = written(learn.score(model, table.filter(F.col("split") == "test")), "scored")
-    reports = evaluation_tables(scored) | {
-        "importances": learn.importance_table(model, spark),
-        "loss_curve": learn.loss_curve(model, table),
-        "auc_curve": learn.auc_curve(model, table),
-    }
-    for name, report in reports.items():
-        tables.write_parquet(report, f"{output}/{name}")
-    learn.run_summary(table, params).write.mode("append").parquet(f"{output}/runs")
-    drop_written(spark)
+    with scratch(spark):
+        offers = tables.read_training_input(spark, source)
+        table = written(learn.training_table(offers, test_from, keep=[]), "features")
+        model = learn.fit(table, params)
+        model.write().overwrite().save(f"{output}/model")
+        scored = written(learn.score(model, table.filter(F.col("split") == "test")), "scored")
+        reports = evaluation_tables(scored) | {
+            "importances": learn.importance_table(model, spark),
+            "loss_curve": learn.loss_curve(model, table),
+            "auc_curve": learn.auc_curve(model, table),
+        }
+        for name, report in reports.items():
+            tables.write_parquet(report, f"{output}/{name}")
+        learn.run_summary(table, params).write.mode("append").parquet(f"{output}/runs")
     return model
 
 

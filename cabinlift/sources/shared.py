@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,9 +43,14 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Delete the copies made so far; for a job that has written its result."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the copies made inside the block when it ends."""
+    mark = len(_paths)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_paths) > mark:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+            path.getFileSystem(hadoop).delete(path, True)
