@@ -75,6 +75,7 @@ def running_counts(
     ``hits``/``misses`` count this score's labels, ``tp``/``fp`` those at or
     above it, ``positives``/``negatives`` all of the group. ``next_hits`` and
     ``next_misses`` belong to the next lower score and are null on the last row.
+    To draw several curves, write this table once and use the ``_of`` functions.
     """
     by = list(by)
     counted = scored.groupBy(*by, "score").agg(
@@ -100,7 +101,8 @@ def running_counts(
     edges = context.join(hot.blocks_before(summary, by, ["tp_before", "fp_before"]), keys)
     ordered = Window.partitionBy(*keys).orderBy(F.desc("score"))
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(F.broadcast(edges), keys).select(
+    # Without groups there is one row of edges per block; with groups their number is open.
+    return cut.join(edges if by else F.broadcast(edges), keys).select(
         *by, "score", "hits", "misses", "positives", "negatives",
         (F.col("tp_before") + F.sum("hits").over(so_far)).alias("tp"),
         (F.col("fp_before") + F.sum("misses").over(so_far)).alias("fp"),
@@ -118,31 +120,36 @@ def roc_points(
     A point is dropped when the steps into and out of it are equal. The origin
     is added with an infinite threshold. A rate without any such label is null.
     """
-    runs = running_counts(scored, by, blocks)
+    return roc_points_of(running_counts(scored, by, blocks), by)
+
+
+def roc_points_of(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     bend = (F.col("next_hits") != F.col("hits")) | (F.col("next_misses") != F.col("misses"))
     corners = runs.filter(F.col("is_first") | F.col("next_hits").isNull() | bend)
-    points = corners.select(
-        *by,
-        F.try_divide(F.col("fp").cast("double"), F.col("negatives")).alias("fpr"),
-        F.try_divide(F.col("tp").cast("double"), F.col("positives")).alias("tpr"),
-        F.col("score").alias("threshold"),
-    )
-    origin = runs.filter("is_first").select(
-        *by,
-        F.when(F.col("negatives") > 0, F.lit(0.0)).alias("fpr"),
-        F.when(F.col("positives") > 0, F.lit(0.0)).alias("tpr"),
-        F.lit(float("inf")).alias("threshold"),
-    )
-    return points.unionByName(origin)
+
+    def point(fp: Column, tp: Column, threshold: Column) -> Column:
+        return F.struct(
+            F.try_divide(fp.cast("double"), F.col("negatives")).alias("fpr"),
+            F.try_divide(tp.cast("double"), F.col("positives")).alias("tpr"),
+            threshold.alias("threshold"),
+        )
+
+    own = point(F.col("fp"), F.col("tp"), F.col("score"))
+    origin = point(F.lit(0), F.lit(0), F.lit(float("inf")))
+    points = F.when(F.col("is_first"), F.array(origin, own)).otherwise(F.array(own))
+    return corners.select(*by, F.inline(points))
 
 
 def roc_auc(scored: DataFrame, by: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
     """Area under the ROC curve by trapezoids, summed exactly in integers."""
+    return roc_auc_of(running_counts(scored, by, blocks), by)
+
+
+def roc_auc_of(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     whole = lambda x: x.cast("decimal(18,0)")
     strip = whole(F.col("misses")) * whole(2 * F.col("tp") - F.col("hits"))
     return (
-        running_counts(scored, by, blocks)
-        .groupBy(*by)
+        runs.groupBy(*by)
         .agg(
             F.sum(strip).cast("double").alias("area"),
             F.max("positives").alias("positives"), F.max("negatives").alias("negatives"),
@@ -163,27 +170,33 @@ def pr_points(
     scored: DataFrame, by: Sequence[str] = (), blocks: int | None = None
 ) -> DataFrame:
     """Precision and recall at every distinct score, plus the end point (1, 0)."""
-    runs = running_counts(scored, by, blocks)
-    points = runs.select(
-        *by,
-        (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        _recall().alias("recall"), F.col("score").alias("threshold"),
-    )
-    end = runs.filter("is_first").select(
-        *by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-        F.lit(None).cast("double").alias("threshold"),
-    )
-    return points.unionByName(end)
+    return pr_points_of(running_counts(scored, by, blocks), by)
+
+
+def pr_points_of(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    def point(precision: Column, recall: Column, threshold: Column) -> Column:
+        return F.struct(
+            precision.alias("precision"), recall.alias("recall"), threshold.alias("threshold")
+        )
+
+    precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
+    own = point(precision, _recall(), F.col("score"))
+    end = point(F.lit(1.0), F.lit(0.0), F.lit(None).cast("double"))
+    points = F.when(F.col("is_first"), F.array(own, end)).otherwise(F.array(own))
+    return runs.select(*by, F.inline(points))
 
 
 def average_precision(
     scored: DataFrame, by: Sequence[str] = (), blocks: int | None = None
 ) -> DataFrame:
     """Precision averaged over the steps in recall."""
+    return average_precision_of(running_counts(scored, by, blocks), by)
+
+
+def average_precision_of(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     step = F.col("hits") * (F.col("tp").cast("double") / (F.col("tp") + F.col("fp")))
     return (
-        running_counts(scored, by, blocks)
-        .groupBy(*by)
+        runs.groupBy(*by)
         .agg(F.sum(step).alias("total"), F.max("positives").alias("positives"))
         .select(*by, F.when(F.col("positives") > 0, F.col("total") / F.col("positives"))
                 .otherwise(F.when(F.col("positives") == 0, F.lit(0.0))).alias("average_precision"))

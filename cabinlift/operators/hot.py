@@ -21,7 +21,7 @@ HEAVY_ROWS = 2_000_000
 # Size bound of every broadcast table with one row per heavy group. Groups left
 # over once the list is full hold under 1/MAX_HEAVY of the rows each and take
 # the ordinary path, which is exact for any size.
-MAX_HEAVY = 1_000
+MAX_HEAVY = 10_000
 
 BLOCK = "_block"
 GROUP_ROWS = "_group_rows"

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from cabinlift import schema as S
 from cabinlift.functions import asof, times
 from cabinlift.operators import hot
-from cabinlift.operators.timeline import join_alive, lead_in, usable_bounds
+from cabinlift.operators.timeline import HEAVY_AUCTION, join_alive, lead_in, placed_offers
 
 K = S.AUCTION_KEY
 AFTER_LAST = {"72h": "earliest", "01h": "nearest"}
@@ -41,8 +41,7 @@ def with_seats(df: DataFrame, after_last_reading: str = "72h") -> DataFrame:
 def turning_points(df: DataFrame, heavy: bool, after_last_reading: str, strict: bool) -> DataFrame:
     """Per auction and distinct time: entries, departures, reading, and whether
     several kinds of event fall on it."""
-    bounds = usable_bounds(df, strict)
-    placed = hot.attach(df.select(*K, "created", "decision_timestamp"), bounds, K, heavy)
+    placed = placed_offers(df, heavy, strict)
     created, decision, start = F.col("created"), F.col("decision_timestamp"), F.col("start_ts")
     first_instant = times.midpoint(lead_in(start), start)
     enters = (
@@ -148,13 +147,13 @@ def auction_snapshots(
     offers: DataFrame,
     after_last_reading: str = "72h",
     strict_schedule: bool = False,
-    heavy_rows: int = hot.HEAVY_ROWS,
+    heavy_rows: int = HEAVY_AUCTION,
     blocks: int | None = None,
 ) -> DataFrame:
     """Who was bidding, and how many seats showed, at each distinct state of an auction.
 
-    ``offers`` has the snapshot-input columns and unique ids; it is read three
-    times, so pass a written table rather than a long lineage.
+    ``offers`` has the snapshot-input columns and unique ids; it is read twice
+    or more, so pass a written table rather than a long lineage.
     """
     offers = offers.select(*S.SNAPSHOT_INPUT)
     heavy = hot.heavy_groups(offers, K, heavy_rows)

@@ -11,6 +11,10 @@ from cabinlift.schema import AUCTION_KEY, EVENT_LOCAL
 
 K = AUCTION_KEY
 LEAD_IN_DAYS = 2
+# Offers of one auction beyond which its pairs with instants are spread over
+# tasks. Pairs grow with the square of the offers, so this is far below the
+# number of rows a task can hold.
+HEAVY_AUCTION = 10_000
 
 
 def lead_in(start: Column) -> Column:
@@ -42,20 +46,37 @@ def auction_bounds(df: DataFrame) -> DataFrame:
     )
 
 
-def usable_bounds(df: DataFrame, strict: bool = False) -> DataFrame:
-    """Bounds of the auctions with one schedule; others are left out, or raise."""
-    bounds = auction_bounds(df)
+def _usable(df: DataFrame, strict: bool) -> DataFrame:
+    """Leave out auctions with several schedules, or raise when ``strict``."""
     if strict:
         message = F.concat_ws(" ", F.lit("more than one schedule in auction"), *[F.col(k).cast("string") for k in K])
-        bounds = bounds.withColumn(
+        df = df.withColumn(
             "one_schedule", F.when(F.col("one_schedule"), True).otherwise(F.raise_error(message))
         )
-    return bounds.filter("one_schedule").drop("one_schedule")
+    return df.filter("one_schedule").drop("one_schedule")
+
+
+def placed_offers(df: DataFrame, heavy: bool, strict: bool = False) -> DataFrame:
+    """Times of every offer with its auction's schedule, start and end.
+
+    Ordinary auctions take one shuffle, which the timeline goes on to use.
+    """
+    if heavy:
+        bounds = _usable(auction_bounds(df), strict)
+        return hot.attach(df.select(*K, "created", "decision_timestamp"), bounds, K, heavy)
+    auction = Window.partitionBy(*K)
+    schedule = F.struct(*EVENT_LOCAL)
+    bounded = df.dropna(subset=K).select(
+        *K, "created", "decision_timestamp", *EVENT_LOCAL,
+        F.min(F.least("decision_timestamp", *EVENT_LOCAL)).over(auction).alias("start_ts"),
+        F.max("decision_timestamp").over(auction).alias("end_ts"),
+        F.min(schedule).over(auction).eqNullSafe(F.max(schedule).over(auction)).alias("one_schedule"),
+    )
+    return _usable(bounded.filter(F.col("end_ts").isNotNull()), strict)
 
 
 def _timeline_side(df: DataFrame, heavy: bool) -> DataFrame:
-    bounds = usable_bounds(df)
-    placed = hot.attach(df.select(*K, "decision_timestamp", "created"), bounds, K, heavy)
+    placed = placed_offers(df, heavy)
     kinds = ["decision_timestamp", "created", *EVENT_LOCAL]
     moments = F.array(
         *[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("ts")) for kind in kinds],
@@ -70,7 +91,7 @@ def _timeline_side(df: DataFrame, heavy: bool) -> DataFrame:
     )
 
 
-def auction_timeline(df: DataFrame, heavy_rows: int = hot.HEAVY_ROWS) -> DataFrame:
+def auction_timeline(df: DataFrame, heavy_rows: int = HEAVY_AUCTION) -> DataFrame:
     """Distinct (kind, time) pairs per auction between its bounds, plus the lead-in.
 
     Equal times of different kinds all stay: they make zero-length gaps.
@@ -112,7 +133,7 @@ def _instants(df: DataFrame, next_ts: Column, number: Column, keep: list[str] =
 
 
 def snapshot_instants(
-    df: DataFrame, heavy_rows: int = hot.HEAVY_ROWS, blocks: int | None = None
+    df: DataFrame, heavy_rows: int = HEAVY_AUCTION, blocks: int | None = None
 ) -> DataFrame:
     """Midpoints of consecutive timeline times, numbered from 1 per auction."""
     heavy = hot.heavy_groups(df, K, heavy_rows)
@@ -131,7 +152,7 @@ def join_alive(
     offers: DataFrame,
     instants: DataFrame,
     heavy: DataFrame | None = None,
-    heavy_rows: int = hot.HEAVY_ROWS,
+    heavy_rows: int = HEAVY_AUCTION,
 ) -> DataFrame:
     """Offers paired with the instants they are alive at.
 
@@ -166,7 +187,7 @@ def join_alive(
 
 
 def alive_offers(
-    df: DataFrame, heavy_rows: int = hot.HEAVY_ROWS, blocks: int | None = None
+    df: DataFrame, heavy_rows: int = HEAVY_AUCTION, blocks: int | None = None
 ) -> DataFrame:
     """Every offer at every instant of its auction at which it is alive."""
     heavy = hot.heavy_groups(df, K, heavy_rows)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from cabinlift import schema as S
 from cabinlift.functions.times import month_start
-from cabinlift.operators import hot, hygiene, snapshots
+from cabinlift.operators import hygiene, snapshots
+from cabinlift.operators.timeline import HEAVY_AUCTION
 from cabinlift.session import build_session
 from cabinlift.sources import tables
 from cabinlift.sources.shared import scratch, written
@@ -26,7 +27,7 @@ def build_snapshots(
     collapse_exact_duplicates: bool = True,
     after_last_reading: str = "72h",
     strict_schedule: bool = False,
-    heavy_rows: int = hot.HEAVY_ROWS,
+    heavy_rows: int = HEAVY_AUCTION,
 ) -> DataFrame:
     """Snapshots of the enriched ``offers``; see the operators for the flags."""
     typed = tables.conform(tables.drop_dotted(offers), S.ENRICHED_SNAPSHOT, strict=False)

@@ -20,14 +20,15 @@ TEST_FROM = "2025-05-01"
 
 
 def evaluation_tables(scored: DataFrame) -> dict[str, DataFrame]:
-    """Every report over the scored test rows."""
+    """Every report over the scored test rows; the curves share one table."""
+    runs = written(evaluate.running_counts(scored), "runs")
     return {
         "metrics": evaluate.threshold_metrics(scored),
         "confusion": evaluate.confusion(scored),
-        "roc_points": evaluate.roc_points(scored),
-        "roc_auc": evaluate.roc_auc(scored),
-        "pr_points": evaluate.pr_points(scored),
-        "average_precision": evaluate.average_precision(scored),
+        "roc_points": evaluate.roc_points_of(runs),
+        "roc_auc": evaluate.roc_auc_of(runs),
+        "pr_points": evaluate.pr_points_of(runs),
+        "average_precision": evaluate.average_precision_of(runs),
         "score_histogram": evaluate.score_histogram(scored),
     }
 

@@ -42,7 +42,7 @@ def test_no_python_rows_and_no_cross_products(spark, name):
 @pytest.mark.parametrize("build, most", [
     (lambda df: hygiene.unique_by(df, "id"), 1),
     (lambda df: features.model_features(df, ["id"]), 1),
-    (lambda df: snapshots.auction_snapshots(df), 3),
+    (lambda df: snapshots.auction_snapshots(df), 2),
 ], ids=["unique_by", "model_features", "auction_snapshots"])
 def test_shuffle_count(offers, build, most):
     assert shuffles(plan_of(build(offers))) <= most
