@@ -8,10 +8,8 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.functions.times import month_start
 from cabinlift.operators import hygiene, snapshots
 from cabinlift.operators.timeline import HEAVY_AUCTION
 from cabinlift.session import build_session
@@ -39,14 +37,12 @@ def build_snapshots(
 
 def run(spark: SparkSession, source: str, output: str, min_travel_date: str | None, **flags) -> None:
     with scratch(spark):
-        offers = tables.read_snapshot_input(spark, source, strict=False)
+        offers = tables.read_snapshot_input(spark, source, False, min_travel_date)
         result = build_snapshots(offers, min_travel_date, **flags)
         if output.endswith(".csv"):
             tables.write_csv(result, output)
             return
-        # Files by month; the hint merges small and splits large month partitions.
-        by_month = result.withColumn("travel_month_start", month_start(F.col("travel_date")).cast("date"))
-        tables.write_parquet(by_month.hint("rebalance", "travel_month_start"), output, ["travel_month_start"])
+        tables.write_by_month(result, output)
 
 
 def main() -> None:

@@ -21,7 +21,7 @@ def run(spark: SparkSession, flights: str, offers: str, output: str, strict: boo
     if output.endswith(".csv"):
         tables.write_csv(enriched, output)
     else:
-        tables.write_parquet(enriched, output)
+        tables.write_by_month(enriched, output)
 
 
 def main() -> None:

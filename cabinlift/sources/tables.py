@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from cabinlift import schema as S
+from cabinlift.functions.times import month_start
+
+# Partition column of tables written by month.
+MONTH = "travel_month_start"
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +54,14 @@ def read_offers(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     return read_table(spark, path, S.OFFERS, strict)
 
 
-def read_snapshot_input(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    return read_table(spark, path, S.ENRICHED_SNAPSHOT, strict)
+def read_snapshot_input(
+    spark: SparkSession, path: str, strict: bool = True, min_travel_date: str | None = None
+) -> DataFrame:
+    """Enriched offers; of a table written by month, only the months needed are listed."""
+    raw = drop_dotted(_raw(spark, path))
+    if MONTH in raw.columns and min_travel_date is not None:
+        raw = raw.filter(F.col(MONTH) >= F.trunc(F.lit(min_travel_date).cast("date"), "month"))
+    return conform(raw, S.ENRICHED_SNAPSHOT, strict)
 
 
 def read_training_input(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -95,5 +105,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     writer.parquet(path)
 
 
+def write_by_month(df: DataFrame, path: str, date: str = "travel_date") -> None:
+    """Parquet in one folder per month; the hint merges small and splits large ones."""
+    dated = df.withColumn(MONTH, month_start(F.col(date)).cast("date"))
+    write_parquet(dated.hint("rebalance", MONTH), path, [MONTH])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

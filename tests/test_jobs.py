@@ -42,6 +42,16 @@ def test_snapshot_job(spark, enriched_csv, tmp_path, offers, kind):
     assert bag(got) == bag(snapshots.auction_snapshots(offers))
 
 
+def test_only_the_months_needed_are_read(spark, tmp_path):
+    path, source = str(tmp_path / "enriched"), demo.enriched(spark, SMALL)
+    tables.write_by_month(source, path)
+    late = tables.read_snapshot_input(spark, path, min_travel_date="2000-02-10")
+    want = source.filter("travel_date >= timestamp_ntz'2000-02-01'").select(*S.SNAPSHOT_INPUT)
+    assert bag(late) == bag(want)
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "travel_month_start" in plan[plan.index("PartitionFilters"):]
+
+
 def test_snapshot_job_flags(spark, enriched_csv):
     source = tables.read_snapshot_input(spark, enriched_csv)
     ids = lambda **flags: build_snapshots.build_snapshots(
