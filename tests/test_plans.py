@@ -54,7 +54,10 @@ def test_shuffle_count(offers, build, most):
 ], ids=["model_features", "auction_snapshots"])
 def test_heavy_windows_are_cut_into_blocks(offers, build):
     """Beside the ordinary side, every window over rows includes the block."""
-    assert hot.BLOCK in plan_of(build(offers))
+    plan = plan_of(build(offers))
+    assert hot.BLOCK in plan
+    for unwanted in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert unwanted not in plan
 
 
 def test_narrow_scan(spark):
