@@ -78,11 +78,22 @@ def _weight(table: DataFrame) -> Column:
     return F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
 
 
-def fit(table: DataFrame, params: Params = Params()) -> PipelineModel:
-    """Fit on the training part, with the test part as validation set.
+@dataclass(frozen=True)
+class Fitted:
+    """``full`` has every iteration, ``model`` those up to the best one."""
+
+    model: PipelineModel
+    full: PipelineModel
+    best_iteration: int
+
+
+def fit(table: DataFrame, params: Params = Params(), keep_best: bool = True) -> Fitted:
+    """Fit on the training part; the test part picks the number of iterations.
 
     ``table`` comes from ``training_table``, best written out first: the
-    encoders and the trees each read it.
+    encoders and the trees each read it. All iterations run. With ``keep_best``
+    the model then ends at the iteration with the highest validation AUC: the
+    same fit, stopped there.
     """
     prepared = _inputs(table)
     train = prepared.filter(F.col("split") == "train")
@@ -113,17 +124,27 @@ def fit(table: DataFrame, params: Params = Params()) -> PipelineModel:
     stages.append(VectorAssembler(
         inputCols=[indexed.get(name, name) for name in plain], outputCol="features"
     ))
-    ready = PipelineModel(stages).transform(prepared).select(
-        "features", F.col("label").cast("double").alias("label"),
-        _weight(table).alias("weight"),
-        (F.col("split") == "test").alias("is_test"),
+    ready = PipelineModel(stages).transform(train).select(
+        "features", F.col("label").cast("double").alias("label"), _weight(table).alias("weight")
     )
     trees = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="weight",
-        validationIndicatorCol="is_test", maxIter=params.iterations, maxDepth=params.depth,
-        stepSize=params.learning_rate, maxBins=params.max_bins, seed=params.seed,
+        featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.iterations,
+        maxDepth=params.depth, stepSize=params.learning_rate, maxBins=params.max_bins,
+        seed=params.seed,
     )
-    return PipelineModel([*stages, trees.fit(ready)])
+    full = PipelineModel([*stages, trees.fit(ready)])
+    best = _best_iteration(full, table) if keep_best else None
+    if best is None or best == params.iterations:
+        return Fitted(full, full, params.iterations)
+    shorter = trees.copy({trees.maxIter: best}).fit(ready)
+    return Fitted(PipelineModel([*stages, shorter]), full, best)
+
+
+def _best_iteration(model: PipelineModel, table: DataFrame) -> int | None:
+    """First iteration with the highest validation AUC; None if there is no AUC."""
+    curve = auc_curve(model, table).filter(F.col("roc_auc").isNotNull())
+    top = curve.orderBy(F.desc("roc_auc"), "iteration").first()
+    return top["iteration"] if top else None
 
 
 def trees_of(model: PipelineModel) -> GBTClassificationModel:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,7 +255,7 @@ def score_histogram(spark, sf_dir):
 
 # Small enough to fit within a check run; the job's defaults are larger.
 FIT = learn.Params(iterations=8, depth=4)
-_models: dict[tuple[str, str], PipelineModel] = {}
+_fits: dict[tuple[str, str], learn.Fitted] = {}
 
 
 def _table(spark, sf_dir):
@@ -265,17 +264,17 @@ def _table(spark, sf_dir):
     ))
 
 
-def _model(spark, sf_dir):
+def _fit(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _models:
-        _models[key] = learn.fit(_table(spark, sf_dir), FIT)
-    return _models[key]
+    if key not in _fits:
+        _fits[key] = learn.fit(_table(spark, sf_dir), FIT)
+    return _fits[key]
 
 
 @query
 def gbt_scored(spark, sf_dir):
     test = _table(spark, sf_dir).filter(F.col("split") == "test")
-    return learn.score(_model(spark, sf_dir), test)
+    return learn.score(_fit(spark, sf_dir).model, test)
 
 
 @query
@@ -285,17 +284,17 @@ def gbt_metrics(spark, sf_dir):
 
 @query
 def gbt_importance(spark, sf_dir):
-    return learn.importance_table(_model(spark, sf_dir), spark)
+    return learn.importance_table(_fit(spark, sf_dir).model, spark)
 
 
 @query
 def gbt_loss_curve(spark, sf_dir):
-    return learn.loss_curve(_model(spark, sf_dir), _table(spark, sf_dir))
+    return learn.loss_curve(_fit(spark, sf_dir).full, _table(spark, sf_dir))
 
 
 @query
 def gbt_auc_curve(spark, sf_dir):
-    return learn.auc_curve(_model(spark, sf_dir), _table(spark, sf_dir))
+    return learn.auc_curve(_fit(spark, sf_dir).full, _table(spark, sf_dir))
 
 
 @query

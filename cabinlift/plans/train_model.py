@@ -39,13 +39,14 @@ def run(
     with scratch(spark):
         offers = tables.read_training_input(spark, source)
         table = written(learn.training_table(offers, test_from, keep=[]), "features")
-        model = learn.fit(table, params)
+        fitted = learn.fit(table, params)
+        model = fitted.model
         model.write().overwrite().save(f"{output}/model")
         scored = written(learn.score(model, table.filter(F.col("split") == "test")), "scored")
         reports = evaluation_tables(scored) | {
             "importances": learn.importance_table(model, spark),
-            "loss_curve": learn.loss_curve(model, table),
-            "auc_curve": learn.auc_curve(model, table),
+            "loss_curve": learn.loss_curve(fitted.full, table),
+            "auc_curve": learn.auc_curve(fitted.full, table),
         }
         for name, report in reports.items():
             tables.write_parquet(report, f"{output}/{name}")
