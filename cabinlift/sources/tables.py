@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
 from cabinlift import schema as S
 from cabinlift.functions.times import month_start
@@ -78,6 +78,9 @@ def _column(df: DataFrame, field, strict: bool):
     if field.name not in df.columns:
         return F.lit(None).cast(field.dataType).alias(field.name)
     source = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, IntegralType) and isinstance(df.schema[field.name].dataType, StringType):
+        # Text written from a float column with gaps: 7 appears as 7.0.
+        source = source.cast("decimal(38,6)") if strict else source.try_cast("decimal(38,6)")
     typed = source.cast(field.dataType) if strict else source.try_cast(field.dataType)
     if isinstance(field.dataType, DoubleType):
         typed = F.when(~F.isnan(typed), typed)

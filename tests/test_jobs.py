@@ -94,11 +94,12 @@ def test_wide_categories_are_target_encoded(spark, offers, monkeypatch):
 
 def test_reader_strictness(spark, tmp_path):
     path = tmp_path / "offers.csv"
-    path.write_text("id,item_count,created,base_amount\n1,2,2025-01-01 10:00:00,nan\nx,3,never,1.5\n")
+    path.write_text("id,item_count,created,base_amount\n1,2.0,2025-01-01 10:00:00,nan\nx,3,never,1.5\n")
     with pytest.raises(PySparkException):
         tables.read_offers(spark, str(path)).collect()
     rows = tables.read_offers(spark, str(path), strict=False).collect()
     assert [r["id"] for r in rows] == [1, None]
+    assert [r["item_count"] for r in rows] == [2, 3]
     assert [r["created"] for r in rows] == [datetime(2025, 1, 1, 10), None]
     assert [r["base_amount"] for r in rows] == [None, 1.5]
     assert rows[0]["conf_num"] is None
