@@ -94,7 +94,8 @@ def join_flights(
     The flight rows of those few keys are counted: up to ``broadcast_rows`` they
     are broadcast, so the heavy offers stay where they were read. Beyond that
     the heavy offers are dealt over as many salts as their group needs and the
-    flight rows are repeated for each salt.
+    flight rows are repeated for each salt. Exact copies of an offer share a
+    salt; adaptive skew-join splitting, which cuts by map output, covers those.
     """
     same_name = [left for left, right in FLIGHT_JOIN.items() if left == right]
     clashes = (set(offers.columns) & set(flights.columns)) - set(same_name)
