@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cabinlift.sources.shared import written
+from cabinlift.llm.scratch import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.filter((F.col(a) != F.col(b))).select(
         F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
-    now = written(pairs, "edges")
+    scratch = Scratch()
+    now = scratch.write(pairs, "edges")
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,8 +35,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        now = written(small.select("x.u", "x.v").filter(F.col("u") != F.col("v")).distinct(), "edges")
+        now = scratch.write(small.select("x.u", "x.v").filter(F.col("u") != F.col("v")).distinct(), "edges")
         before, state = state, _state(now)
+        scratch.free(now)
         if state == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

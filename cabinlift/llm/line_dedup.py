@@ -21,20 +21,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from cabinlift.llm.columns import let
 from cabinlift.llm.components import components
-from cabinlift.llm.grams import mixed
-from cabinlift.sources.shared import written
+from cabinlift.llm.grams import mixed, slices
+from cabinlift.llm.scratch import BROADCAST_ROWS, Scratch, few
 
 #: Edits up to which two lines are the same.
 EDITS = 2
 #: Code points from which a line is compared at all; shorter ones recur by chance and stay.
 LEAST_CHARS = 40
+#: Blanks at the ends of a line that do not count.
+BLANKS = " \t\r"
 #: Index rows of a segment that meet probes in one block.
 BLOCK_ROWS = 2_000
-#: Rows up to which a side is broadcast; beyond it both sides are shuffled.
-BROADCAST_LINES = 1_000_000
 #: Line numbers in all up to which the lines to drop are broadcast.
 BROADCAST_DROPS = 2_000_000
 #: Pairs compared side by side.
@@ -43,7 +44,7 @@ PAIRS = 512
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, body (hash of the text), no, line (hash), s: every line that counts."""
-    s = F.trim(F.col("raw"), F.lit(" \t\r"))
+    s = F.trim(F.col("raw"), F.lit(BLANKS))
     return (
         docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
@@ -52,21 +53,46 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _segments(line: Column, edits: int) -> Column:
-    """Index and probe keys: a key is segment number, indexed length and substring."""
-    parts, keys = edits + 1, []
-    n = F.length(line)
-    for less in range(edits + 1):
-        size = n - less
-        base = F.floor(size / parts).cast("int")
-        plain = parts - size % parts  # segments of the smaller length come first
-        for i in range(parts):
-            start = base * i + F.greatest(F.lit(0), F.lit(i) - plain)
-            length = base + F.when(F.lit(i) >= plain, 1).otherwise(0)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                key = F.xxhash64(F.lit(i), size, F.substr(line, start + shift + 1, length))
-                keys.append(F.struct(key.alias("key"), F.lit(less == 0 and shift == 0).alias("own")))
-    return F.array(*keys)
+def _shifts(edits: int) -> list[tuple[int, int, int]]:
+    """Length difference, segment and shift of every substring that a line looks up."""
+    return [
+        (less, i, shift) for less in range(edits + 1) for i in range(edits + 1)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+
+
+def _segments(edits: int, least: int):
+    """Arrow function: texts to (key, line, own), a key being segment number, indexed length and substring.
+
+    ``own`` marks a line's own segments, which are the index; the rest are
+    probes. A line that recurs in a batch is cut up once.
+    """
+    shifts, parts = _shifts(edits), edits + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        for batch in slices(batches):
+            seen, keys, lines, owns = set(), [], [], []
+            for text in batch.column("text").to_pylist():
+                for raw in (text or "").split("\n"):
+                    s = raw.strip(BLANKS)
+                    if len(s) < least or s in seen:
+                        continue
+                    seen.add(s)
+                    line, n = signed(xxh64_intdigest(s.encode(), 42)), len(s)
+                    whole = s.encode() if s.isascii() else None
+                    for less, i, shift in shifts:
+                        base, longer = divmod(n - less, parts)  # the last segments are the longer ones
+                        start = base * i + max(0, i - (parts - longer)) + shift
+                        end = start + base + (i >= parts - longer)
+                        piece = s[start:end].encode() if whole is None else whole[start:end]
+                        keys.append(signed(xxh64_intdigest(piece, (n - less) * parts + i)))
+                        lines.append(line)
+                        owns.append(less == 0 and shift == 0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(lines, pa.int64()), pa.array(owns, pa.bool_())],
+                names=["key", "line", "own"])
+
+    return run
 
 
 def banded_distance(a: list[str], b: list[str], k: int) -> np.ndarray:
@@ -151,26 +177,27 @@ def _links(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """line, component: lines (hashes) that are near another one, with the smallest hash they reach."""
+    """node, component: lines (hashes) that are near another one, with the smallest hash they reach."""
     lines = _lines(docs, least)
-    entries = lines.select("line", F.explode(_segments(F.col("s"), edits)).alias("x")).select("x.key", "line", "x.own")
+    scratch = Scratch()
+    entries = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(
+        _segments(edits, least), "key long, line long, own boolean")
     keys = (
         entries.groupBy("key").agg(
             F.min("line").alias("low"), F.max("line").alias("high"), F.min(F.when(F.col("own"), F.col("line"))).alias("lead"))
         .filter((F.col("low") != F.col("high")) & F.col("lead").isNotNull()).select("key", "lead")
     )
-    shared = written(entries.join(keys, "key").distinct(), "segments")
-    ids = written(shared.select("line").distinct(), "lines")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_LINES else ids
-    texts = written(
-        lines.select("line", "s").join(few, "line", "left_semi").dropDuplicates(["line"])
+    shared = scratch.write(entries.join(keys, "key").distinct(), "segments")
+    ids = scratch.write(shared.select("line").distinct(), "lines")
+    texts = scratch.write(
+        lines.select("line", "s").join(few(ids), "line", "left_semi").dropDuplicates(["line"])
         .mapInArrow(_sketch, "line long, s string, n int, sig long"), "texts")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = written(shared.filter(F.col("line") != F.col("lead")).select(*pair("line", "lead")).distinct(), "first")
-    links = written(_links(first, texts, edits).distinct(), "links")
+    first = scratch.write(shared.filter(F.col("line") != F.col("lead")).select(*pair("line", "lead")).distinct(), "first")
+    links = scratch.write(_links(first, texts, edits).distinct(), "links")
     found = components(links)
 
-    labelled = written(
+    labelled = scratch.write(
         shared.select("key", "line", "own").join(texts.select("line", "n", "sig"), "line").join(
             found.withColumnRenamed("node", "line"), "line", "left")
         .withColumn("component", F.coalesce("component", "line")), "labelled")
@@ -184,7 +211,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     second = left.join(right, ["key", "part"]).filter(
         (F.col("component_i") != F.col("component_p")) & _near(edits, "n_i", "sig_i", "n_p", "sig_p")
     ).select(*pair("line_i", "line_p")).distinct().join(first, ["a", "b"], "left_anti")
-    return components(links.unionByName(_links(written(second, "second"), texts, edits)))
+    found = components(links.unionByName(_links(scratch.write(second, "second"), texts, edits)))
+    scratch.free()
+    return found
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
@@ -198,18 +227,22 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     Rows without a doc_id are not touched and claim no line. Rows that repeat a
     document are the same document, so each keeps its first lines.
     """
-    named = written(line_classes(docs, edits, least), "classes").withColumnRenamed("node", "line")
+    scratch = Scratch()
+    named = few(scratch.write(line_classes(docs, edits, least).withColumnRenamed("node", "line"), "classes"))
     places = (
         _lines(docs, least).select("doc_id", "body", "no", "line").join(named, "line", "left")
         .select("doc_id", "body", "no", F.coalesce("component", "line").alias("line"))
     )
     at = F.struct("doc_id", "no")
-    firsts = places.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last")
-    drops = written(
-        places.join(firsts.select("line", "first"), "line").filter(at != F.col("first"))
+    firsts = few(scratch.write(
+        places.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").drop("last"),
+        "firsts"))
+    drops = scratch.write(
+        places.join(firsts, "line").filter(at != F.col("first"))
         .groupBy("doc_id", "body").agg(F.collect_set("no").alias("drops")), "drops")
     some, lines = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("drops")), F.lit(0))).first()
-    small = some <= BROADCAST_LINES and lines <= BROADCAST_DROPS
+    scratch.free(drops)
+    small = some <= BROADCAST_ROWS and lines <= BROADCAST_DROPS
     drops = drops.select(F.col("doc_id").alias("of_"), F.col("body").alias("in_"), "drops")
     joined = docs.drop("n_lines", "n_dropped", "body_").withColumn("body_", F.xxhash64("text")).join(
         F.broadcast(drops) if small else drops, (F.col("doc_id") == F.col("of_")) & (F.col("body_") == F.col("in_")), "left")

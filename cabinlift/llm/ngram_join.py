@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cabinlift.llm import grams
 from cabinlift.llm.components import components
-from cabinlift.sources.shared import written
+from cabinlift.llm.scratch import Scratch, few
 
 # Words per shingle and least similarity in per cent, of the data contract.
 WORDS = 4
@@ -40,8 +40,6 @@ FREQUENT = 1 << 20
 COUNTED = 2_000_000
 #: Growth of set sizes from one block of a column to the next, and rows per block that are split further.
 BAND, BLOCK_ROWS = 1.05, 2_000
-#: Document ids up to which a selection of documents is broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -86,9 +84,9 @@ def _repeated(n: int):
     return run
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """At most ``FREQUENT`` n-grams and how often they were seen; only the order of columns depends on it."""
-    counts = written(
+    counts = scratch.write(
         docs.select("text").mapInArrow(_repeated(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().orderBy(F.desc("bits")).collect()
     total, least = 0, 64
@@ -140,10 +138,6 @@ def _room(percent: int, ni: Column, pi: Column, nj: Column, pj: Column) -> Colum
     return F.least(ni - pi, nj - pj) * (100 + percent) >= percent * (ni + nj)
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets overlap enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -188,13 +182,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     are copies of each other. Rows without a doc_id take no part and get a null
     component. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = spark.sparkContext.broadcast(_frequent(docs, words))
-    rows = written(docs.mapInArrow(
+    frequent = spark.sparkContext.broadcast(_frequent(docs, words, scratch))
+    prefixes = scratch.write(docs.mapInArrow(
         _prefixer(words, percent, frequent), "doc_id long, n long, digest binary, prefix array<long>"), "prefixes")
-    real = rows.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = written(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    rows = scratch.write(prefixes.drop("prefix"), "rows")
+    real = prefixes.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = scratch.write(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
 
     # A document id that occurs with several texts is a node for each; one id joins them.
     heads = real.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
@@ -206,39 +201,40 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
              F.min_by("pos", "rank").alias("lead_pos"), F.min("node").alias("low"), F.max("node").alias("high"))
         .filter(F.col("low") != F.col("high")).drop("low", "high")
     )
-    shared = written(entries.join(columns, "gram"), "shared")
+    shared = scratch.write(entries.join(columns, "gram"), "shared")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = shared.filter(
         (F.col("node") != F.col("lead")) & _room(percent, F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
     ).select(*pair("node", "lead")).distinct()
     ids = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(_few(written(ids, "ids")), "doc_id", "left_semi")
+    texts = docs.join(few(scratch.write(ids, "ids")), "doc_id", "left_semi")
     sets = texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>")
     if not real.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows would repeat each link
         sets = sets.dropDuplicates(["node", "shingles"])
-    sets = written(sets, "sets")
-    first = written(first, "first")
-    links = written(_linked(first, sets, percent).distinct(), "links")
+    sets = scratch.write(sets, "sets")
+    first = scratch.write(first, "first")
+    links = scratch.write(_linked(first, sets, percent).distinct(), "links")
     found = components(links)
 
     labelled = (
         shared.select("gram", "node", "n", "pos").join(found, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    labelled = written(labelled, "labelled")
+    labelled = scratch.write(labelled, "labelled")
     split = labelled.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    index, probes = _blocks(written(labelled.join(split.select("gram"), "gram", "left_semi"), "split"), percent)
+    index, probes = _blocks(scratch.write(labelled.join(split.select("gram"), "gram", "left_semi"), "split"), percent)
     second = index.join(probes, ["gram", "band", "part"]).filter(
         (F.col("component_i") != F.col("component_p"))
         & ((F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("node_i") < F.col("node_p"))))
         & _room(percent, F.col("n_i"), F.col("pos_i"), F.col("n_p"), F.col("pos_p"))
     ).select(*pair("node_i", "node_p")).distinct().join(first, ["a", "b"], "left_anti")
-    every = written(links.unionByName(_linked(written(second, "second"), sets, percent)), "links")
+    every = scratch.write(links.unionByName(_linked(scratch.write(second, "second"), sets, percent)), "links")
     found = components(every)
+    scratch.free(rows, classes)
     named = (
         classes.join(found, "node", "left")
         .select("digest", F.coalesce("component", "node").alias("component"))
     )
     of = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return rows.select("doc_id", "n", "digest").join(named, "digest", "left").select(
+    return rows.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"))
