@@ -125,7 +125,7 @@ def join_flights(
         if not large:
             return matched(some, right, [])
         salts = F.ceil(F.col(hot.GROUP_ROWS) / F.lit(heavy_rows)).cast("int")
-        sizes = F.broadcast(heavy.select(
+        sizes = hot.sized(heavy.select(
             *[F.col(a).alias(f"_h_{a}") for a in left_keys], salts.alias("_salts")
         ))
         on_left, on_right = F.lit(True), F.lit(True)

@@ -101,8 +101,7 @@ def running_counts(
     edges = context.join(hot.blocks_before(summary, by, ["tp_before", "fp_before"]), keys)
     ordered = Window.partitionBy(*keys).orderBy(F.desc("score"))
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    # Without groups there is one row of edges per block; with groups their number is open.
-    return cut.join(edges if by else F.broadcast(edges), keys).select(
+    return cut.join(hot.sized(edges), keys).select(
         *by, "score", "hits", "misses", "positives", "negatives",
         (F.col("tp_before") + F.sum("hits").over(so_far)).alias("tp"),
         (F.col("fp_before") + F.sum("misses").over(so_far)).alias("fp"),
@@ -234,7 +233,7 @@ def score_histogram(
         .otherwise(F.col("guess"))
     )
     counts = (
-        scored.join(F.broadcast(spans) if not by else spans, keys)
+        scored.join(hot.sized(spans), keys)
         .withColumn("guess", guess)
         .groupBy(*keys, settled.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n_rows"))

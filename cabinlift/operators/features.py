@@ -9,12 +9,8 @@ from cabinlift import schema as S
 from cabinlift.functions import numbers
 from cabinlift.operators import groups, hot
 
-AMOUNT_EDGES = list(range(100, 1701, 100))
-AMOUNT_LABELS = (
-    [f"<{AMOUNT_EDGES[0]}"]
-    + [f"{low}-{high}" for low, high in zip(AMOUNT_EDGES, AMOUNT_EDGES[1:])]
-    + [f">{AMOUNT_EDGES[-1]}"]
-)
+# Amounts go in steps, open below the first and above the last.
+AMOUNT_STEP, AMOUNT_LAST = 100, 1700
 OFFER_DAYS = 30
 ITEM_CAP = 4
 OFFERS_CAP = 15
@@ -22,10 +18,16 @@ SEATS_LOW, SEATS_HIGH, SEATS_MISSING = -1, 30, -2
 
 
 def amount_bins(df: DataFrame) -> DataFrame:
-    cut = numbers.right_closed_cut(
-        F.col("usd_base_amount"), [float(edge) for edge in AMOUNT_EDGES], AMOUNT_LABELS
+    """The step an amount lies in, named by its ends; the upper end belongs to it. Null stays null."""
+    amount = F.col("usd_base_amount")
+    upper = F.ceil(amount / AMOUNT_STEP) * AMOUNT_STEP
+    name = (
+        F.when(amount.isNull() | F.isnan(amount), None)
+        .when(amount <= AMOUNT_STEP, F.lit(f"<{AMOUNT_STEP}"))
+        .when(amount > AMOUNT_LAST, F.lit(f">{AMOUNT_LAST}"))
+        .otherwise(F.concat((upper - AMOUNT_STEP).cast("string"), F.lit("-"), upper.cast("string")))
     )
-    return df.withColumn("usd_base_amount_grp", cut)
+    return df.withColumn("usd_base_amount_grp", name)
 
 
 def offer_time_bins(df: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def _order_statistics(df, keys, value, names, blocks) -> DataFrame:
     totals = summary.groupBy(*keys).agg(F.sum("_before").alias("_n"))
     offsets = hot.blocks_before(summary, keys, ["_before"]).join(totals, list(keys))
     ordered = Window.partitionBy(*block_keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    covered = cut.join(F.broadcast(offsets), block_keys).withColumn(
+    covered = cut.join(hot.sized(offsets), block_keys).withColumn(
         "_upto", F.col("_before") + F.sum("_copies").over(ordered)
     )
     picks = []

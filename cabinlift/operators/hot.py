@@ -2,8 +2,8 @@
 
 Group-wise operators here are written as ``side(df, heavy)``. Ordinary groups
 go through one shuffle on the group key and plain window functions. Groups too
-large for one task are set apart; for those, per-group tables are tiny (at most
-``MAX_HEAVY`` rows, so they are broadcast and the rows never shuffle), and
+large for one task are set apart, all of them; for those, a table with one
+row per group is counted and broadcast only while it is small, else shuffled, and
 ordered scans run over range-partitioned blocks whose summaries are combined.
 """
 
@@ -18,11 +18,12 @@ from cabinlift.sources.shared import written
 
 # Rows of one group that a single task may hold and sort.
 HEAVY_ROWS = 2_000_000
-# Size bound of every broadcast table with one row per heavy group. Groups left
-# over once the list is full hold under 1/MAX_HEAVY of the rows each and take
-# the ordinary path, which is exact for any size.
-MAX_HEAVY = 10_000
+# Rows up to which a table with one row per heavy group or block is broadcast.
+# Beyond it the join shuffles both sides, and adaptive execution splits what is
+# skewed. The result is the same either way.
+BROADCAST_ROWS = 200_000
 
+FEW, MANY = "few", "many"
 BLOCK = "_block"
 GROUP_ROWS = "_group_rows"
 
@@ -39,28 +40,27 @@ def heavy_groups(
 ) -> DataFrame | None:
     """The groups above ``heavy_rows`` with their sizes, or None if there are none.
 
-    A table that fits one task has none; its count comes from the file footers
-    or the filtered columns. Counting combines on the map side; at most
-    ``MAX_HEAVY`` rows reach the driver.
+    Counting combines on the map side, in one pass; the list is written to the
+    shared folder and may have any length.
     """
-    if df.count() <= heavy_rows:
-        return None
-    sizes = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(GROUP_ROWS))
-        .filter(F.col(GROUP_ROWS) > heavy_rows)
-        .orderBy(F.desc(GROUP_ROWS), *keys)
-        .limit(MAX_HEAVY)
-    )
-    rows = sizes.collect()
-    return df.sparkSession.createDataFrame(rows, sizes.schema) if rows else None
+    sizes = written(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS)).filter(F.col(GROUP_ROWS) > heavy_rows), "heavy")
+    return None if sizes.isEmpty() else sizes
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written copy of ``table``, to be broadcast if its rows are few enough."""
+    copy = written(table, "sized")
+    return F.broadcast(copy) if copy.count() <= BROADCAST_ROWS else copy
 
 
 def set_apart(
     df: DataFrame, keys: Sequence[str], heavy: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Split ``df`` into (ordinary, heavy) rows by a broadcast of the heavy keys."""
-    marks = F.broadcast(heavy.select(*keys))
+    """Split ``df`` into (ordinary, heavy) rows by the heavy keys."""
+    marks = heavy.select(*keys)
+    if heavy.count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
     condition = same_key(df, marks, keys)
     return df.join(marks, condition, "left_anti"), df.join(marks, condition, "left_semi")
 
@@ -71,16 +71,20 @@ def by_side(
     heavy: DataFrame | None,
     side: Callable[[DataFrame, bool], DataFrame],
 ) -> DataFrame:
-    """Apply ``side`` to the ordinary rows and, if any, to the heavy ones."""
+    """Apply ``side`` to the ordinary rows and, if any, to the heavy ones.
+
+    ``side`` gets False for ordinary rows; for heavy ones it gets FEW or MANY,
+    by how many groups there are.
+    """
     if heavy is None:
         return side(df, False)
     ordinary, large = set_apart(df, keys, heavy)
-    return side(ordinary, False).unionByName(side(large, True))
+    return side(ordinary, False).unionByName(side(large, FEW if heavy.count() <= BROADCAST_ROWS else MANY))
 
 
-def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], heavy: bool) -> DataFrame:
+def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], heavy: bool | str) -> DataFrame:
     """Add the columns of a one-row-per-group table to the rows of each group."""
-    return df.join(F.broadcast(table) if heavy else table, list(keys))
+    return df.join(F.broadcast(table) if heavy == FEW else table, list(keys))
 
 
 def range_blocks(

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from cabinlift import schema as S
 from cabinlift.operators import evaluate, features, hot
 
-# Categories with more values than this are target-encoded: a tree needs one
-# histogram bin per category value.
-MAX_CATEGORIES = 64
+# Categorical features that are encoded by the rate of their label: those whose
+# values grow with the data. The others are indexed, and a tree needs a
+# histogram bin per value, so each must stay below ``max_bins`` values.
+TARGET_ENCODED = "flight_number"
 # Missing numbers are treated as smaller than every real one.
 MISSING = -1.0e12
 EVAL_METRIC = "AUC"
@@ -31,6 +32,7 @@ class Params:
     learning_rate: float = 0.1
     max_bins: int = 128
     seed: int = 42
+    target_encoded: str = TARGET_ENCODED  # names with commas between
 
 
 def training_table(
@@ -103,10 +105,7 @@ def fit(table: DataFrame, params: Params = Params(), keep_best: bool = True) ->
         inputCols=categories, outputCols=list(indexed.values()), handleInvalid="keep"
     ).fit(train)
     stages = [indexer]
-    wide = [
-        name for name, labels in zip(categories, indexer.labelsArray)
-        if len(labels) + 1 > MAX_CATEGORIES
-    ]
+    wide = [_plain(name) for name in params.target_encoded.split(",") if _plain(name) in categories]
     if wide:
         encoder = TargetEncoder(
             inputCols=[indexed[name] for name in wide],

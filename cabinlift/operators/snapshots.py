@@ -121,7 +121,7 @@ def kept_snapshots_blocked(points: DataFrame, blocks: int | None = None) -> Data
         F.lead("first_ts").over(hot.neighbour(K)).alias("following_ts"),
         F.lag("last_reading").over(hot.neighbour(K)).alias("preceding_reading"),
     )
-    edges = F.broadcast(near.join(hot.blocks_before(summary, K, ["alive_before"]), keys))
+    edges = hot.sized(near.join(hot.blocks_before(summary, K, ["alive_before"]), keys))
     ordered = Window.partitionBy(*keys).orderBy("ts")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
     alive = F.col("alive_before") + F.sum(F.col("entered") - F.col("left")).over(so_far)
@@ -136,7 +136,7 @@ def kept_snapshots_blocked(points: DataFrame, blocks: int | None = None) -> Data
         .select(*keys, "current_timestamp", F.row_number().over(ordered).alias("n"))
     )
     counts = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("kept_before"))
-    offsets = F.broadcast(hot.blocks_before(counts, K, ["kept_before"]))
+    offsets = hot.sized(hot.blocks_before(counts, K, ["kept_before"]))
     return kept.join(offsets, keys).select(
         *keys, "current_timestamp",
         (F.col("n") + F.col("kept_before")).cast("int").alias("snapshot_num"),

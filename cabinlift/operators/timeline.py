@@ -113,7 +113,7 @@ def _instants_side(df: DataFrame, heavy: bool, blocks: int | None = None) -> Dat
         *K, hot.BLOCK, F.lead("first_ts").over(hot.neighbour(K)).alias("following_ts")
     )
     before = hot.blocks_before(summary, K, ["rows"])
-    edges = F.broadcast(following.join(before, [*K, hot.BLOCK]))
+    edges = hot.sized(following.join(before, [*K, hot.BLOCK]))
     ordered = Window.partitionBy(*K, hot.BLOCK).orderBy("ts", "kind")
     joined = cut.join(edges, [*K, hot.BLOCK])
     return _instants(
@@ -170,17 +170,17 @@ def join_alive(
     spans = (
         instants.groupBy(*K, hot.BLOCK)
         .agg(F.min("current_timestamp").alias("_lo"), F.max("current_timestamp").alias("_hi"))
-        .join(F.broadcast(salts), K)
+        .join(salts, K)
     )
     spread = (
-        offers.join(F.broadcast(spans), K)
+        offers.join(hot.sized(spans), K)
         .filter((F.col("created") <= F.col("_hi")) & (F.col("decision_timestamp") > F.col("_lo")))
         .select(
             *offers.columns, hot.BLOCK,
             F.pmod(F.xxhash64(*offers.columns), F.col("_salts")).cast("int").alias("_salt"),
         )
     )
-    repeated = instants.join(F.broadcast(salts), K).select(
+    repeated = instants.join(salts, K).select(
         *instants.columns, F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
     )
     return spread.join(repeated, [*K, hot.BLOCK, "_salt"]).filter(hit).drop(hot.BLOCK, "_salt")

@@ -16,6 +16,7 @@ from cabinlift.session import build_session
 from cabinlift.sources import tables
 from cabinlift.sources.shared import scratch, written
 
+# Fixed value: the default date of the job contract.
 MIN_TRAVEL_DATE = "2025-05-01"
 
 
@@ -26,23 +27,38 @@ def build_snapshots(
     after_last_reading: str = "72h",
     strict_schedule: bool = False,
     heavy_rows: int = HEAVY_AUCTION,
+    strict: bool = False,
 ) -> DataFrame:
     """Snapshots of the enriched ``offers``; see the operators for the flags."""
-    typed = tables.conform(tables.drop_dotted(offers), S.ENRICHED_SNAPSHOT, strict=False)
-    unique = hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates)
-    return snapshots.auction_snapshots(
-        written(unique, "unique-offers"), after_last_reading, strict_schedule, heavy_rows
-    )
+    unique = _unique(offers, min_travel_date, collapse_exact_duplicates, strict)
+    return snapshots.auction_snapshots(unique, after_last_reading, strict_schedule, heavy_rows)
+
+
+def _unique(offers: DataFrame, min_travel_date: str | None, collapse_exact_duplicates: bool, strict: bool) -> DataFrame:
+    typed = tables.conform(tables.drop_dotted(offers), S.ENRICHED_SNAPSHOT, strict)
+    return written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
+
 
+def run(
+    spark: SparkSession, source: str, output: str, min_travel_date: str | None,
+    collapse_exact_duplicates: bool = True, strict: bool = False, **flags,
+) -> int:
+    """Write the snapshots, and beside them the auctions left out for having several schedules.
 
-def run(spark: SparkSession, source: str, output: str, min_travel_date: str | None, **flags) -> None:
+    Those go to ``OUT_rejects`` (key and number of schedules); their number is returned.
+    """
     with scratch(spark):
-        offers = tables.read_snapshot_input(spark, source, False, min_travel_date)
-        result = build_snapshots(offers, min_travel_date, **flags)
+        offers = tables.read_snapshot_input(spark, source, strict, min_travel_date)
+        unique = _unique(offers, min_travel_date, collapse_exact_duplicates, strict)
+        rejects = written(hygiene.schedule_conflicts(unique), "rejects")
+        result = snapshots.auction_snapshots(unique, **flags)
         if output.endswith(".csv"):
             tables.write_csv(result, output)
-            return
-        tables.write_by_month(result, output)
+            tables.write_csv(rejects, f"{output.removesuffix('.csv')}_rejects.csv")
+        else:
+            tables.write_by_month(result, output)
+            tables.write_parquet(rejects, f"{output.rstrip('/')}_rejects")
+        return rejects.count()
 
 
 def main() -> None:
@@ -53,15 +69,18 @@ def main() -> None:
     options.add_argument("--keep_duplicates_apart", action="store_true",
                          help="drop an id that has several rows even if they are equal")
     options.add_argument("--after_last_reading", choices=["72h", "01h"], default="72h")
+    options.add_argument("--strict", action="store_true", help="fail on values that do not parse instead of making them null")
     options.add_argument("--strict_schedule", action="store_true",
                          help="fail on an auction with several schedules instead of leaving it out")
     chosen = options.parse_args()
     spark = build_session("auction-snapshots")
-    run(
+    left_out = run(
         spark, chosen.input, chosen.output, chosen.min_travel_date,
         collapse_exact_duplicates=not chosen.keep_duplicates_apart,
+        strict=chosen.strict,
         after_last_reading=chosen.after_last_reading, strict_schedule=chosen.strict_schedule,
     )
+    print(f"auctions left out for several schedules: {left_out}")
     spark.stop()
 
 

@@ -8,7 +8,6 @@ entries, list-minus-self quantiles instead of order statistics.
 from __future__ import annotations
 
 from cabinlift import schema as S
-from cabinlift.operators.features import AMOUNT_EDGES, AMOUNT_LABELS
 
 H = S.HORIZONS
 KEY = ", ".join(S.AUCTION_KEY)
@@ -226,9 +225,24 @@ CTES = {
               FROM (SELECT {KEY}, pairs, unnest(pairs) AS p FROM loo_lists))""",
     "binned": f"""
         SELECT *, CASE
-               {" ".join(f"WHEN usd_base_amount <= {edge} THEN '{label}'"
-                         for edge, label in zip(AMOUNT_EDGES, AMOUNT_LABELS))}
-               WHEN usd_base_amount IS NOT NULL THEN '{AMOUNT_LABELS[-1]}' END AS usd_base_amount_grp,
+               WHEN usd_base_amount <= 100 THEN '<100'
+               WHEN usd_base_amount <= 200 THEN '100-200'
+               WHEN usd_base_amount <= 300 THEN '200-300'
+               WHEN usd_base_amount <= 400 THEN '300-400'
+               WHEN usd_base_amount <= 500 THEN '400-500'
+               WHEN usd_base_amount <= 600 THEN '500-600'
+               WHEN usd_base_amount <= 700 THEN '600-700'
+               WHEN usd_base_amount <= 800 THEN '700-800'
+               WHEN usd_base_amount <= 900 THEN '800-900'
+               WHEN usd_base_amount <= 1000 THEN '900-1000'
+               WHEN usd_base_amount <= 1100 THEN '1000-1100'
+               WHEN usd_base_amount <= 1200 THEN '1100-1200'
+               WHEN usd_base_amount <= 1300 THEN '1200-1300'
+               WHEN usd_base_amount <= 1400 THEN '1300-1400'
+               WHEN usd_base_amount <= 1500 THEN '1400-1500'
+               WHEN usd_base_amount <= 1600 THEN '1500-1600'
+               WHEN usd_base_amount <= 1700 THEN '1600-1700'
+               WHEN usd_base_amount IS NOT NULL THEN '>1700' END AS usd_base_amount_grp,
                (CASE WHEN offer_time <= 0 THEN NULL WHEN offer_time > 30 THEN 31
                      ELSE ceil(offer_time) END)::INTEGER AS offer_time_grp,
                (CASE WHEN item_count <= 4 THEN item_count ELSE 5 END)::INTEGER AS item_count_grp,
@@ -313,8 +327,8 @@ ORACLES = {
         WHERE travel_date >= TIMESTAMP '2000-01-01'"""),
     "auction_bounds": _rows("bounds"),
     "schedule_conflicts": _with("uniq", f"""
-        SELECT carrier_code, travel_date, count(*) AS n_schedules
-        FROM (SELECT DISTINCT carrier_code, travel_date, {_names(S.EVENT_LOCAL)} FROM uniq)
+        SELECT travel_date, count(*) AS n_schedules
+        FROM (SELECT DISTINCT travel_date, {_names(S.EVENT_LOCAL)} FROM uniq)
         GROUP BY ALL HAVING count(*) > 1"""),
     "auction_timeline": _rows("timeline"),
     "snapshot_instants": _rows("instants"),
@@ -375,7 +389,8 @@ ORACLES = {
                count(*) FILTER (travel_date < TIMESTAMP '2000-01-01') AS train_rows,
                count(*) FILTER (travel_date >= TIMESTAMP '2000-01-01') AS test_rows,
                'AUC' AS eval_metric, 8::INTEGER AS iterations, 4::INTEGER AS depth,
-               0.1::DOUBLE AS learning_rate, 128::INTEGER AS max_bins, 42::INTEGER AS seed
+               0.1::DOUBLE AS learning_rate, 128::INTEGER AS max_bins, 42::INTEGER AS seed,
+               'flight_number' AS target_encoded
         FROM uniq"""),
     "score_histogram": _with("scored", """
         , spans AS (SELECT label, min(score) AS lo, max(score) AS hi FROM scored GROUP BY label),

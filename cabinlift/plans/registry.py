@@ -117,10 +117,8 @@ def auction_bounds(spark, sf_dir):
 
 @query
 def schedule_conflicts(spark, sf_dir):
-    """By carrier and day, where different flights do have different schedules."""
-    return hygiene.schedule_conflicts(
-        demo.unique_offers(spark, sf_dir), ["carrier_code", "travel_date"]
-    )
+    """By day, where different flights do have different schedules."""
+    return hygiene.schedule_conflicts(demo.unique_offers(spark, sf_dir), ["travel_date"])
 
 
 @query

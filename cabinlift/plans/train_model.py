@@ -59,7 +59,7 @@ def main() -> None:
     options.add_argument("--input", required=True)
     options.add_argument("--output", required=True)
     options.add_argument("--test_from", default=TEST_FROM)
-    for name in ("iterations", "depth", "learning_rate", "max_bins", "seed"):
+    for name in ("iterations", "depth", "learning_rate", "max_bins", "seed", "target_encoded"):
         options.add_argument(f"--{name}")
     chosen = vars(options.parse_args())
     spark = build_session("acceptance-model")

@@ -1,7 +1,7 @@
 """Flights, offers and scores derived from the star-schema tables.
 
 All arithmetic is on integers or listed literals, so that the same derivation
-written in SQL (``demo_sql.py``) gives bit-identical values.
+written in SQL (``plans/oracles.py``) gives bit-identical values.
 """
 
 from __future__ import annotations

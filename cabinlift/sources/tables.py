@@ -12,11 +12,15 @@ from cabinlift.functions.times import month_start
 # Partition column of tables written by month.
 MONTH = "travel_month_start"
 FLIGHT_ORDER = ["carrier_code", "flight_number"]
+LAST_PLACE = (1 << 63) - 1
+# Columns that an input may lack.
+OPTIONAL = frozenset((*S.EVENT_LOCAL, *S.COUNTS))
 
 
 def _raw(spark: SparkSession, path: str) -> DataFrame:
-    if path.rstrip("/").endswith(".csv"):
-        return spark.read.option("header", True).csv(path)
+    if path.rstrip("/").endswith((".csv", ".csv.gz")):
+        # Doubled quotes stand for one, as most writers of CSV have it.
+        return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return spark.read.parquet(path)
 
 
@@ -27,8 +31,9 @@ def read_table(
 
     CSV columns are matched by header name, so their order in the file does not
     matter and undeclared columns are skipped. In strict mode a value that does
-    not parse raises; otherwise it becomes null. Declared columns that the file
-    lacks are null.
+    not parse raises, and so does a fraction in a column of whole numbers;
+    otherwise it becomes null. The availability columns may be absent and are
+    then null; any other absent column raises.
     """
     return conform(drop_dotted(_raw(spark, path)), declared, strict)
 
@@ -45,10 +50,12 @@ def read_flights(spark: SparkSession, path: str, strict: bool = True) -> DataFra
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    if "ingest_seq" not in raw.columns:
-        raw = raw.select("*", place.alias("ingest_seq"))
     typed = [_column(raw, field, strict) for field in S.FLIGHTS.fields]
-    return raw.select(*typed, "ingest_seq")
+    if "ingest_seq" not in raw.columns:
+        return raw.select(*typed, place.alias("ingest_seq"))
+    # A given place is a number; rows without one come last.
+    given = F.col("ingest_seq").cast("bigint") if strict else F.col("ingest_seq").try_cast("bigint")
+    return raw.select(*typed, F.coalesce(given, F.lit(LAST_PLACE)).alias("ingest_seq"))
 
 
 def read_offers(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -76,11 +83,16 @@ def drop_dotted(df: DataFrame) -> DataFrame:
 
 def _column(df: DataFrame, field, strict: bool):
     if field.name not in df.columns:
+        if field.name not in OPTIONAL:
+            raise ValueError(f"the input lacks the column {field.name}")
         return F.lit(None).cast(field.dataType).alias(field.name)
     source = F.col(f"`{field.name}`")
     if isinstance(field.dataType, IntegralType) and isinstance(df.schema[field.name].dataType, StringType):
         # Text written from a float column with gaps: 7 appears as 7.0.
         source = source.cast("decimal(38,6)") if strict else source.try_cast("decimal(38,6)")
+        whole = F.floor(source) == source
+        broken = F.raise_error(F.concat(F.lit(f"{field.name} is not a whole number: "), source.cast("string"))) if strict else F.lit(None)
+        source = F.when(source.isNull() | whole, source).otherwise(broken)
     typed = source.cast(field.dataType) if strict else source.try_cast(field.dataType)
     if isinstance(field.dataType, DoubleType):
         typed = F.when(~F.isnan(typed), typed)
@@ -88,7 +100,7 @@ def _column(df: DataFrame, field, strict: bool):
 
 
 def conform(df: DataFrame, declared: StructType, strict: bool = True) -> DataFrame:
-    """Select the declared columns with their types; absent ones become null.
+    """Select the declared columns with their types; absent availability columns become null.
 
     ``NaN`` becomes null, so that maxima and averages skip it.
     """
@@ -121,4 +133,4 @@ def write_by_month(df: DataFrame, path: str, date: str = "travel_date") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

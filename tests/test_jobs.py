@@ -13,7 +13,7 @@ from cabinlift.operators import learn
 from cabinlift.plans import build_snapshots, enrich_offers, train_model
 from cabinlift.sources import demo, shared, tables
 from tests.conftest import SMALL
-from tests.support import bag
+from tests.support import bag, offer_rows
 
 
 @pytest.fixture(scope="module")
@@ -84,17 +84,22 @@ def test_train_job(spark, enriched_csv, tmp_path, offers):
     assert len(learn.trees_of(PipelineModel.load(f"{out}/model")).trees) == best["iteration"]
 
 
-def test_wide_categories_are_target_encoded(spark, offers, monkeypatch):
-    monkeypatch.setattr(learn, "MAX_CATEGORIES", 8)
+def test_wide_categories_are_target_encoded(spark, offers):
     table = shared.written(learn.training_table(offers, demo.TEST_FROM))
-    fitted = learn.fit(table, learn.Params(iterations=2, depth=2, max_bins=8))
+    wide = "flight_number,carrier_code"
+    fitted = learn.fit(table, learn.Params(iterations=2, depth=2, max_bins=64, target_encoded=wide))
     scored = learn.score(fitted.model, table.filter("split = 'test'"))
     assert scored.filter("score between 0 and 1").count() == table.filter("split = 'test'").count()
 
 
 def test_reader_strictness(spark, tmp_path):
     path = tmp_path / "offers.csv"
-    path.write_text("id,item_count,created,base_amount\n1,2.0,2025-01-01 10:00:00,nan\nx,3,never,1.5\n")
+    names = S.OFFERS.fieldNames()
+    row = lambda **given: ",".join(given.get(name, "") for name in names) + "\n"
+    path.write_text(
+        ",".join(names) + "\n"
+        + row(id="1", item_count="2.0", created="2025-01-01 10:00:00", base_amount="nan")
+        + row(id="x", item_count="3", created="never", base_amount="1.5"))
     with pytest.raises(PySparkException):
         tables.read_offers(spark, str(path)).collect()
     rows = tables.read_offers(spark, str(path), strict=False).collect()
@@ -105,11 +110,61 @@ def test_reader_strictness(spark, tmp_path):
     assert rows[0]["conf_num"] is None
 
 
+FLIGHT = {
+    "carrier_code": "K", "flight_number": "1", "departure_local_date_time": "2025-01-01 10:00:00",
+    "cabin_type": "BUSINESS", "origination": "A", "destination": "B", "booking_fare_class": "J", "partner_id": "{}",
+}
+
+
+def flight_lines(*more):
+    names = [*S.FLIGHTS.fieldNames(), *more]
+    return ",".join(names) + "\n", ",".join(FLIGHT.get(name, "{}" if name in more else "") for name in names) + "\n"
+
+
+def test_a_given_place_is_a_number(spark, tmp_path):
+    path = tmp_path / "flights.csv"
+    head, row = flight_lines("ingest_seq")
+    path.write_text(head + row.format(5, 10) + row.format(6, 2) + row.format(7, ""))
+    from cabinlift.operators import enrich
+
+    kept = enrich.dedup_flights(enrich.typed_flights(tables.read_flights(spark, str(path))))
+    assert [r["partner_id"] for r in kept.collect()] == [6]
+
+
+def test_csv_keeps_quotes_and_raises_on_what_it_would_lose(spark, tmp_path):
+    path = str(tmp_path / "quoted.csv")
+    schema = "name string, item_count int"
+    from pyspark.sql.types import StructType
+
+    rows = [('a "b, c"', 7), ("line\nbreak", 8)]
+    tables.write_csv(spark.createDataFrame(rows, schema), path)
+    declared = StructType.fromDDL(schema)
+    assert sorted(map(tuple, tables.read_table(spark, path, declared).collect())) == sorted(rows)
+    part = tmp_path / "part.csv"
+    part.write_text('name,item_count\n"a ""b, c""",7.9\n')
+    with pytest.raises(PySparkException):
+        tables.read_table(spark, str(part), declared).collect()
+    assert [tuple(r) for r in tables.read_table(spark, str(part), declared, strict=False).collect()] == [('a "b, c"', None)]
+    with pytest.raises(ValueError, match="lacks"):
+        tables.read_table(spark, str(part), StructType.fromDDL(schema + ", created timestamp"))
+
+
+def test_auctions_with_several_schedules_are_listed(spark, tmp_path):
+    rows = offer_rows(spark, [
+        {"id": 1}, {"id": 2, "flight_number": "2"},
+        {"id": 3, "flight_number": "2", "event_local_date_48h": datetime(2025, 1, 3, 5)}])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows.write.parquet(source)
+    assert build_snapshots.run(spark, source, out, "2025-01-01") == 1
+    made = {r[0] for r in spark.read.parquet(out).select("flight_number").distinct().collect()}
+    left = {r[0] for r in spark.read.parquet(f"{out}_rejects").select("flight_number").collect()}
+    assert (made, left) == ({"1"}, {"2"})
+
+
 def test_input_order_decides_the_kept_flight(spark, tmp_path):
     folder = tmp_path / "flights.csv"
     folder.mkdir()
-    head = "carrier_code,flight_number,departure_local_date_time,cabin_type,origination,destination,booking_fare_class,partner_id\n"
-    row = "K,1,2025-01-01 10:00:00,BUSINESS,A,B,J,{}\n"
+    head, row = flight_lines()
     (folder / "a.csv").write_text(head + row.format(5) + row.format(6))
     (folder / "b.csv").write_text(head + row.format(7) * 3)
     from cabinlift.operators import enrich

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry_points
 from cabinlift import schema as S
 from cabinlift.operators import features, hot, hygiene, snapshots
+from cabinlift.plans import registry
 from cabinlift.sources import demo
 from tests.conftest import SMALL
 
@@ -29,7 +30,7 @@ def shuffles(plan: str) -> int:
     return len(re.findall(r"Exchange (?:hash|range|Single|RoundRobin)", plan))
 
 
-NATIVE = [name for name in entry_points.queries() if not name.startswith("gbt_")]
+NATIVE = [name for name in registry.QUERIES if not name.startswith("gbt_")]
 
 
 @pytest.mark.parametrize("name", NATIVE)
