@@ -195,25 +195,35 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     heads = real.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
     entries = heads.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "gram"))
     rank = F.shiftleft(F.col("pos").cast("long"), 33) + F.pmod(F.xxhash64("node"), F.lit(1 << 33))
-    columns = (
-        entries.withColumn("rank", rank).groupBy("gram")
-        .agg(F.min_by("node", "rank").alias("lead"), F.min_by("n", "rank").alias("lead_n"),
-             F.min_by("pos", "rank").alias("lead_pos"), F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter(F.col("low") != F.col("high")).drop("low", "high")
+    columns = scratch.write(
+        entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+        .filter(F.col("low") != F.col("high")).select("gram"), "columns")
+    shared = scratch.write(entries.join(few(columns), "gram", "left_semi"), "shared")
+    scratch.free(rows, classes, shared)
+    leads = (
+        shared.withColumn("rank", rank).groupBy("gram")
+        .agg(F.min_by("node", "rank").alias("lead"), F.min_by("n", "rank").alias("lead_n"), F.min_by("pos", "rank").alias("lead_pos"))
     )
-    shared = scratch.write(entries.join(columns, "gram"), "shared")
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = shared.filter(
+    first = shared.join(leads, "gram").filter(
         (F.col("node") != F.col("lead")) & _room(percent, F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
     ).select(*pair("node", "lead")).distinct()
-    ids = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(few(scratch.write(ids, "ids")), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>")
-    if not real.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows would repeat each link
-        sets = sets.dropDuplicates(["node", "shingles"])
-    sets = scratch.write(sets, "sets")
     first = scratch.write(first, "first")
-    links = scratch.write(_linked(first, sets, percent).distinct(), "links")
+    repeats = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by the whole sets of just the documents in them."""
+        own = Scratch()
+        ids = own.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        texts = docs.join(few(ids), "doc_id", "left_semi")
+        sets = texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>")
+        if repeats:  # repeated rows would repeat each link
+            sets = sets.dropDuplicates(["node", "shingles"])
+        found = scratch.write(_linked(pairs, own.write(sets, "sets"), percent).distinct(), "links")
+        own.free()
+        return found
+
+    links = checked(first)
     found = components(links)
 
     labelled = (
@@ -228,8 +238,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         & ((F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("node_i") < F.col("node_p"))))
         & _room(percent, F.col("n_i"), F.col("pos_i"), F.col("n_p"), F.col("pos_p"))
     ).select(*pair("node_i", "node_p")).distinct().join(first, ["a", "b"], "left_anti")
-    every = scratch.write(links.unionByName(_linked(scratch.write(second, "second"), sets, percent)), "links")
-    found = components(every)
+    found = components(links.unionByName(checked(scratch.write(second, "second"))))
     scratch.free(rows, classes)
     named = (
         classes.join(found, "node", "left")
