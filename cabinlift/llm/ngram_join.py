@@ -198,7 +198,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     columns = scratch.write(
         entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
         .filter(F.col("low") != F.col("high")).select("gram"), "columns")
-    shared = scratch.write(entries.join(few(columns), "gram", "left_semi"), "shared")
+    shared = scratch.write(entries.join(columns, "gram", "left_semi"), "shared")
     scratch.free(rows, classes, shared)
     leads = (
         shared.withColumn("rank", rank).groupBy("gram")
