@@ -193,11 +193,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     # A document id that occurs with several texts is a node for each; one id joins them.
     heads = real.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    repeats = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if repeats:  # a row that is there twice is one node
+        heads = heads.dropDuplicates(["doc_id", "digest"])
     entries = heads.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "gram"))
     rank = F.shiftleft(F.col("pos").cast("long"), 33) + F.pmod(F.xxhash64("node"), F.lit(1 << 33))
-    columns = scratch.write(
-        entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .filter(F.col("low") != F.col("high")).select("gram"), "columns")
+    columns = scratch.write(entries.groupBy("gram").count().filter("count > 1").select("gram"), "columns")
     shared = scratch.write(entries.join(columns, "gram", "left_semi"), "shared")
     scratch.free(rows, classes, shared)
     leads = (
@@ -209,7 +210,6 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         (F.col("node") != F.col("lead")) & _room(percent, F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"))
     ).select(*pair("node", "lead")).distinct()
     first = scratch.write(first, "first")
-    repeats = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the whole sets of just the documents in them."""
