@@ -155,15 +155,17 @@ def _blocks(entries: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     The smaller set of a linked pair has its entry among the first places, as
     far as a partner of its own size could be reached; the larger one looks for
-    it in the bands of all sizes that are similar enough.
+    it in the bands of all sizes that are similar enough, up to the size that
+    the rest of its own row, from its place on, could still make up for.
     """
     band = lambda size: F.floor(F.log(size.cast("double")) / math.log(BAND)).cast("int")
     n, pos = F.col("n"), F.col("pos")
     index = entries.filter((n - pos) * (100 + percent) >= 2 * percent * n).withColumn("band", band(n))
     parts = index.groupBy("gram", "band").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).cast("int").alias("parts"))
     index = index.join(parts, ["gram", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    most = F.least(n, F.floor((n - pos) * (100 + percent) / percent) - n)  # at least the least similar size, in a prefix
     probes = (
-        entries.withColumn("band", F.explode(F.sequence(band(F.ceil(n * percent / 100)), band(n))))
+        entries.withColumn("band", F.explode(F.sequence(band(F.ceil(n * percent / 100)), band(most))))
         .join(parts, ["gram", "band"])
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     )
