@@ -12,7 +12,9 @@ and place alone. The product runs in two rounds:
    entries of different components meet within the bounds.
 
 Pairs inside a component need no second look, so a large group of near copies
-costs one comparison a copy. Overlaps are then counted over whole sets.
+costs one comparison a copy. A parity sketch of each set bounds from below in how
+many n-grams two sets differ, and discards pairs that differ in too many; for
+the others, overlaps are counted over whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ FREQUENT = 1 << 20
 COUNTED = 2_000_000
 #: Growth of set sizes from one block of a column to the next, and rows per block that are split further.
 BAND, BLOCK_ROWS = 1.05, 2_000
+#: Longs of a set's sketch; sets of several thousand n-grams differ in more places than it can show.
+SKETCH = 16
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -100,15 +104,22 @@ def _frequent(docs: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np
     return values[order], table["n"].to_numpy(np.int64)[order]
 
 
+def _sketch(one: np.ndarray) -> np.ndarray:
+    """Bit h is the parity of the n-grams that hash to h: two sketches differ in no more bits than their sets in n-grams."""
+    odd = np.bincount((one % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _prefixer(n: int, percent: int, frequent):
-    """Arrow function: doc_id, set size, digest of the set, and its prefix with the rarest n-grams first."""
+    """Arrow function: doc_id, set size, digest and sketch of the set, and its prefix with the rarest n-grams first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, often = frequent.value
         for batch in grams.slices(batches):
-            sizes, digests, prefixes = [], [], []
+            sizes, digests, sketches, prefixes = [], [], [], []
             for one in _sets(batch, n):
                 sizes.append(len(one))
+                sketches.append(_sketch(one))
                 digests.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
                 if len(known) and len(one):
                     at = np.minimum(np.searchsorted(known, one), len(known) - 1)
@@ -118,7 +129,8 @@ def _prefixer(n: int, percent: int, frequent):
                 prefixes.append(one[:len(one) - (percent * len(one) + 99) // 100 + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "prefix"])
+                 pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "digest", "sketch", "prefix"])
 
     return run
 
@@ -138,6 +150,17 @@ def _room(percent: int, ni: Column, pi: Column, nj: Column, pj: Column) -> Colum
     return F.least(ni - pi, nj - pj) * (100 + percent) >= percent * (ni + nj)
 
 
+def _likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave it open that the sets link; a node may have several sets."""
+    side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("sketch" + x))
+    differing = F.aggregate(
+        F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return (
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .filter(differing * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
+    )
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets overlap enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -188,8 +211,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(_frequent(docs, words, scratch))
     prefixes = scratch.write(docs.mapInArrow(
-        _prefixer(words, percent, frequent), "doc_id long, n long, digest binary, prefix array<long>"), "prefixes")
-    rows = scratch.write(prefixes.drop("prefix"), "rows")
+        _prefixer(words, percent, frequent), "doc_id long, n long, digest binary, sketch array<long>, prefix array<long>"), "prefixes")
+    rows = scratch.write(prefixes.drop("sketch", "prefix"), "rows")
     real = prefixes.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = scratch.write(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
 
@@ -202,7 +225,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rank = F.shiftleft(F.col("pos").cast("long"), 33) + F.pmod(F.xxhash64("node"), F.lit(1 << 33))
     columns = scratch.write(entries.groupBy("gram").count().filter("count > 1").select("gram"), "columns")
     shared = scratch.write(entries.join(columns, "gram", "left_semi"), "shared")
-    scratch.free(rows, classes, shared)
+    sketches = scratch.write(heads.select("doc_id", "n", "sketch"), "sketches")
+    scratch.free(rows, classes, shared, sketches)
     leads = (
         shared.withColumn("rank", rank).groupBy("gram")
         .agg(F.min_by("node", "rank").alias("lead"), F.min_by("n", "rank").alias("lead_n"), F.min_by("pos", "rank").alias("lead_pos"))
@@ -216,6 +240,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs that link, by the whole sets of just the documents in them."""
         own = Scratch()
+        pairs = own.write(_likely(pairs, sketches, percent), "likely")
         ids = own.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
         texts = docs.join(few(ids), "doc_id", "left_semi")
         sets = texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>")
