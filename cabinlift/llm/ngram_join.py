@@ -221,6 +221,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     repeats = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if repeats:  # a row that is there twice is one node
         heads = heads.dropDuplicates(["doc_id", "digest"])
+    heads = scratch.write(heads, "heads")
+    scratch.free(rows, classes, heads)
     entries = heads.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "gram"))
     rank = F.shiftleft(F.col("pos").cast("long"), 33) + F.pmod(F.xxhash64("node"), F.lit(1 << 33))
     columns = scratch.write(entries.groupBy("gram").count().filter("count > 1").select("gram"), "columns")
