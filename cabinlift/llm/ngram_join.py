@@ -214,10 +214,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         _prefixer(words, percent, frequent), "doc_id long, n long, digest binary, sketch array<long>, prefix array<long>"), "prefixes")
     rows = scratch.write(prefixes.drop("sketch", "prefix"), "rows")
     real = prefixes.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = scratch.write(real.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    classes = scratch.write(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "classes")
 
+    # Only sets that several rows hold are looked up: the row of a set held once is its head.
     # A document id that occurs with several texts is a node for each; one id joins them.
-    heads = real.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
+    copied = few(scratch.write(classes.filter("rows > 1").select("digest", "node"), "copied"))
+    heads = real.join(copied, "digest", "left").filter(F.col("node").isNull() | (F.col("doc_id") == F.col("node"))).drop("node")
     repeats = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
     if repeats:  # a row that is there twice is one node
         heads = heads.dropDuplicates(["doc_id", "digest"])
