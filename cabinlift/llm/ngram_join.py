@@ -228,7 +228,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     entries = heads.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "gram"))
     rank = F.shiftleft(F.col("pos").cast("long"), 33) + F.pmod(F.xxhash64("node"), F.lit(1 << 33))
     columns = scratch.write(entries.groupBy("gram").count().filter("count > 1").select("gram"), "columns")
-    shared = scratch.write(entries.join(columns, "gram", "left_semi"), "shared")
+    # Size and place travel as one number: this shuffle is the widest.
+    packed = entries.select("gram", "node", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
+    shared = scratch.write(packed.join(columns, "gram", "left_semi").select(
+        "gram", "node", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos")), "shared")
     sketches = scratch.write(heads.select("doc_id", "n", "sketch"), "sketches")
     scratch.free(rows, classes, shared, sketches)
     leads = (
