@@ -2,7 +2,8 @@
 
 A text becomes its words between single spaces, so that signatures need not care
 about punctuation and line breaks. A cheap test picks texts that can hold a
-license at all; for those, every rule whose keyword occurs runs its expression.
+license at all; for those, every rule of which a keyword and the words of its
+form occur runs its expression.
 Overlaps are resolved by priority: a detection inside another one of higher
 priority, or inside a longer one of the same, is dropped.
 """
@@ -10,6 +11,7 @@ priority, or inside a longer one of the same, is dropped.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,13 @@ from cabinlift.llm.columns import let, places
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # as given, on texts whose A-Z are still upper case
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Families: label, keyword that every expression of the family needs, names as expressions over
-#: lower-case words, and the short identifier as words.
+#: Families: label, keywords one of which is part of every name, names as expressions over
+#: lower-case words, and the short identifier as words, which starts with a literal part.
 FAMILIES = (
     ("mit", "mit", "mit(?: expat)?", "mit"),
     ("mit-0", "mit", "mit no attribution", "mit 0"),
     ("x11", "x11", "x11", "x11"),
-    ("isc", "isc", "isc|internet systems consortium", "isc"),
+    ("isc", "isc|internet systems consortium", "isc|internet systems consortium", "isc"),
     ("apache-1", "apache", "apache(?: software)? (?:license )?(?:version |v )?1(?: [01])?", "apache 1 [01]"),
     ("apache-2", "apache", "apache (?:software )?(?:license )?(?:version |v )?2(?: 0)?", "apache 2 0"),
     ("bsd-2", "bsd", "(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause", "bsd 2 clause"),
@@ -81,7 +83,7 @@ FAMILIES = (
     ("bsl", "business source", "business source license", "busl 1 1"),
     ("sspl", "server side", "server side public license", "sspl 1 0"),
     ("elastic", "elastic", "elastic license", "elastic 2 0"),
-    ("cc0", "cc0", "cc0(?: 1 0)?|cc zero", "cc0 1 0"),
+    ("cc0", "cc0|cc zero", "cc0(?: 1 0)?|cc zero", "cc0 1 0"),
     ("cc-by", "cc by", "cc by(?: [1-4] [0-9])?", "cc by [1-4] [0-9]"),
     ("cc-by-sa", "cc by", "cc by sa(?: [1-4] [0-9])?", "cc by sa [1-4] [0-9]"),
     ("cc-by-nd", "cc by", "cc by nd(?: [1-4] [0-9])?", "cc by nd [1-4] [0-9]"),
@@ -96,13 +98,14 @@ FAMILIES = (
     ("cc-by-nc-nd", "creative commons", "creative commons attribution non ?commercial no ?deriv(?:ative)?s", "creative commons by nc nd"),
 )
 
-#: Ways to state a license: priority (higher wins), weight, and the expression around a name or identifier.
+#: Ways to state a license: priority (higher wins), weight, words that all of them have, and the
+#: expression around a name or identifier.
 FORMS = (
-    (40, 1.0, "spdx license identifier (?:{id})"),
-    (30, 0.95, "(?:licen[cs]ed|released|distributed|available|provided|published|covered)(?: to you)? under"
+    (40, 1.0, "spdx license identifier", "spdx license identifier (?:{id})"),
+    (30, 0.95, "under", "(?:licen[cs]ed|released|distributed|available|provided|published|covered)(?: to you)? under"
                "(?: the)?(?: terms(?: and conditions)? of)?(?: the)? (?:{name})(?: licen[cs]e)?(?: version [0-9](?: [0-9])?)?"),
-    (20, 0.8, "(?:licen[cs]e|licen[cs]ing|licen[cs]es?)(?: is| are| as| the| type| name)? (?:{name}|{id})"),
-    (15, 0.7, "(?:{name}) licen[cs]e(?:d)?(?: version [0-9](?: [0-9])?)?"),
+    (20, 0.8, "licen", "(?:licen[cs]e|licen[cs]ing|licen[cs]es?)(?: is| are| as| the| type| name)? (?:{name}|{id})"),
+    (15, 0.7, "licen", "(?:{name}) licen[cs]e(?:d)?(?: version [0-9](?: [0-9])?)?"),
 )
 
 #: Signatures that belong to no named license.
@@ -123,21 +126,32 @@ HINT = (r"(?i)licen[sc]|copyright|spdx|creative commons|public domain|all rights
         r"|permission|redistribution|cc by|general public")
 
 
+def _literal(short: str) -> str:
+    """The words that an identifier starts with, up to its first choice."""
+    return re.match(r"[a-z0-9 ]+(?![?*])", short).group().strip()
+
+
+def _keywords(form: str, names: str, short: str) -> list[str]:
+    """Words one of which is in every match of ``form`` around names or the identifier."""
+    every = (names.split("|") if "{name}" in form else []) + ([_literal(short)] if "{id}" in form else [])
+    return [x for x in every if not any(y != x and y in x for y in every)]
+
+
 def rules() -> list[dict]:
-    """Every rule: keyword, expression over words between single spaces, label, priority, weight."""
+    """Every rule: keywords and form words, expression over words between single spaces, label, priority, weight."""
     made = [
-        {"keyword": keyword, "label": label, "priority": priority, "weight": weight,
+        {"keywords": _keywords(form, names, short), "form": words, "label": label, "priority": priority, "weight": weight,
          "regex": f"(?i)(?<= )(?:{form.format(name=name, id=short)})(?= )"}
-        for label, keyword, name, short in FAMILIES for priority, weight, form in FORMS
+        for label, names, name, short in FAMILIES for priority, weight, words, form in FORMS
     ]
     return made + [
-        {"keyword": keyword, "label": label, "priority": priority, "weight": weight,
+        {"keywords": [keyword], "form": "", "label": label, "priority": priority, "weight": weight,
          "regex": f"(?i)(?<= )(?:{regex})(?= )"}
         for label, keyword, priority, weight, regex in SINGLE
     ]
 
 
-_RULE = "array<struct<keyword:string,label:string,priority:int,weight:double,regex:string>>"
+_RULE = "array<struct<keywords:array<string>,form:string,label:string,priority:int,weight:double,regex:string>>"
 _HIT = "array<struct<s:int,e:int,label:string,priority:int,weight:double>>"
 
 
@@ -158,11 +172,12 @@ def _phrase(norm: Column, phrase: str, label: str) -> Column:
 
 
 def _detections(norm: Column, table: list[dict]) -> Column:
-    """What the rules find: the keyword picks the rules that run at all."""
+    """What the rules find: keywords and form words pick the rules that run at all."""
     every = F.from_json(F.lit(json.dumps(table)), _RULE)
 
     def run(lowered: Column) -> Column:
-        chosen = F.filter(every, lambda r: F.contains(lowered, r["keyword"]))
+        chosen = F.filter(every, lambda r: F.contains(lowered, r["form"]) & F.exists(
+            r["keywords"], lambda k: F.contains(lowered, k)))
         return F.flatten(F.transform(chosen, lambda r: F.transform(
             _word_places(norm, r["regex"]),
             lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), r["label"].alias("label"),

@@ -1,6 +1,7 @@
 """Secrets, licenses and personal data against searches with Python's own expressions."""
 
 import hashlib
+import random
 import re
 
 from cabinlift.llm import licences, pii, secrets
@@ -81,6 +82,47 @@ def test_longer_and_higher_rules_win(spark):
         re.compile(rule["regex"])
 
 
+def sample(rng, parsed):
+    """One text of a parsed expression."""
+    out = ""
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            kind, value = rng.choice(value)
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif kind == "BRANCH":
+            out += sample(rng, rng.choice(value[1]))
+        elif kind == "SUBPATTERN":
+            out += sample(rng, value[3])
+        elif kind == "MAX_REPEAT":
+            out += "".join(sample(rng, value[2]) for _ in range(rng.randint(value[0], value[1])))
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+    return out
+
+
+def licence_examples(rule):
+    rng = random.Random(rule["regex"])
+    return {sample(rng, re._parser.parse(rule["regex"])) for _ in range(40)}
+
+
+def test_every_rule_runs_on_its_own_examples():
+    for rule in licences.rules():
+        for text in licence_examples(rule):
+            assert re.search(rule["regex"], f" {text} ")
+            assert rule["form"] in text and any(k in text for k in rule["keywords"]), (rule["label"], text)
+
+
+def test_short_identifiers_and_second_names(spark):
+    want = {"GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "LGPL-2.1": "lgpl-2", "AGPL-3.0": "agpl-3", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2",
+            "CDDL-1.0": "cddl-1", "BSL-1.0": "boost-1", "OFL-1.1": "ofl", "MS-PL": "ms-pl", "SSPL-1.0": "sspl", "BUSL-1.1": "bsl"}
+    texts = [*(f"SPDX-License-Identifier: {x}" for x in want), "Internet Systems Consortium license", "License: CC Zero", "license MPL 2.0"]
+    got = {r["doc_id"]: r["labels"] for r in licences.licence_report(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*want.values(), "isc", "cc0", "mpl-2"]
+
+
 def pii_spans(text):
     found = {
         "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)],
