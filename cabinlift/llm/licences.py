@@ -123,7 +123,8 @@ SINGLE = (
 
 #: Words without which no rule and no fixed phrase can match.
 HINT = (r"(?i)licen[sc]|copyright|spdx|creative commons|public domain|all rights reserved|proprietary"
-        r"|permission|redistribution|cc by|general public")
+        r"|permission|redistribution|cc by|general public"
+        r"|(?:released|distributed|available|provided|published|covered) (?:to you )?under ")
 
 
 def _literal(short: str) -> str:

@@ -115,6 +115,17 @@ def test_every_rule_runs_on_its_own_examples():
             assert rule["form"] in text and any(k in text for k in rule["keywords"]), (rule["label"], text)
 
 
+def test_the_hint_passes_whatever_a_rule_matches(spark):
+    for rule in licences.rules():
+        for text in licence_examples(rule):
+            assert re.search(licences.HINT, f" {text} "), (rule["label"], text)
+    want = {"released under GPLv3": "gpl-3", "available under the same terms as Perl itself": "perl",
+            "this code is released under the MIT": "mit", "Distributed to you under CC0": "cc0"}
+    rows = licences.licence_report(documents(spark, list(want))).collect()
+    assert {list(want)[r["doc_id"]]: r["labels"] for r in rows} == want
+    assert all(r["score"] > 0 for r in rows)
+
+
 def test_short_identifiers_and_second_names(spark):
     want = {"GPL-2.0": "gpl-2", "GPL-3.0": "gpl-3", "LGPL-2.1": "lgpl-2", "AGPL-3.0": "agpl-3", "MPL-2.0": "mpl-2", "EPL-2.0": "epl-2",
             "CDDL-1.0": "cddl-1", "BSL-1.0": "boost-1", "OFL-1.1": "ofl", "MS-PL": "ms-pl", "SSPL-1.0": "sspl", "BUSL-1.1": "bsl"}
