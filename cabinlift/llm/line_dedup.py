@@ -1,6 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
-Lines within ``edits`` edits of each other count as the same. A line is cut into
+Lines within ``edits`` edits of each other count as the same; short lines must be
+equal and are told by their hash alone. A longer line is cut into
 ``edits + 1`` segments; a line that is reached by that many edits keeps one of
 them whole, at a place that moves by few characters. So every line enters its
 own segments in an index and looks up the substrings that a segment of a line
@@ -30,10 +31,13 @@ from cabinlift.llm.scratch import BROADCAST_ROWS, Scratch, few
 
 #: Edits up to which two lines are the same.
 EDITS = 2
-#: Code points from which a line is compared at all; shorter ones recur by chance and stay.
+#: Code points from which near lines are looked for; two edits change the sense of a shorter one, which must be equal.
 LEAST_CHARS = 40
 #: Blanks at the ends of a line that do not count.
 BLANKS = " \t\r"
+#: Shorter lines that stay wherever they recur: one bare word or number, as in a list or a table, without a mark or
+#: blank. Scripts that are written without blanks are no single words.
+WORD = r"^[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]+$"
 #: Index rows of a segment that meet probes in one block.
 BLOCK_ROWS = 2_000
 #: Line numbers in all up to which the lines to drop are broadcast.
@@ -42,13 +46,16 @@ BROADCAST_DROPS = 2_000_000
 PAIRS = 512
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, body (hash of the text), no, line (hash), s: every line that counts."""
+def _lines(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
+    """doc_id, body (hash of the text), no, line (hash), s: every line from ``least`` on, or with the ``short`` that count."""
     s = F.trim(F.col("raw"), F.lit(BLANKS))
+    counts = F.length("s") >= least
+    if short:
+        counts = counts | (F.col("s") != "") & ~F.col("s").rlike(WORD)
     return (
         docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         .select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-        .select("doc_id", "body", "no", s.alias("s")).filter(F.length("s") >= least)
+        .select("doc_id", "body", "no", s.alias("s")).filter(counts)
         .withColumn("line", F.xxhash64("s"))
     )
 
@@ -217,11 +224,12 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` with every near-repeated line dropped but its first, and ``n_lines`` and ``n_dropped``.
+    """``docs`` with every repeated line dropped but its first, and ``n_lines`` and ``n_dropped``.
 
-    A line counts from ``least`` code points on, without blanks at its ends; of
-    a class of lines the one of the smallest (doc_id, line number) stays. Lines
-    that do not count stay as they are. One row in, one row out, all columns
+    Lines are taken without blanks at their ends. From ``least`` code points on
+    they repeat each other within ``edits`` edits, shorter ones if they are
+    equal; of a class of lines the one of the smallest (doc_id, line number)
+    stays. Blank lines and shorter ones that are a bare ``WORD`` stay. One row in, one row out, all columns
     pass through; columns already called ``n_lines``, ``n_dropped`` or ``body_``
     are replaced. A null text stays null with 0 lines, an empty one is one line.
     Rows without a doc_id are not touched and claim no line. Rows that repeat a
@@ -230,7 +238,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     scratch = Scratch()
     named = few(scratch.write(line_classes(docs, edits, least).withColumnRenamed("node", "line"), "classes"))
     places = (
-        _lines(docs, least).select("doc_id", "body", "no", "line").join(named, "line", "left")
+        _lines(docs, least, short=True).select("doc_id", "body", "no", "line").join(named, "line", "left")
         .select("doc_id", "body", "no", F.coalesce("component", "line").alias("line"))
     )
     at = F.struct("doc_id", "no")

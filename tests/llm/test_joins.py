@@ -78,6 +78,14 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_go_when_they_are_equal(spark):
+    long = "A line that is long enough to be compared by edits."
+    texts = [f"All rights reserved.\n{long}\nword\n\n好的 \nÉouch.", f"  All rights reserved.\t\nAll rights reserve.\nword\n\n好的\n{long}!",
+             "All rights reserved.\nÉouch.\n42", "All rights reserved.\nAll rights reserved.\n42\n}\n}"]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.line_report(documents(spark, texts)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("All rights reserve.\nword\n", 3), 2: ("42", 2), 3: ("42\n}", 3)}
+
+
 def test_every_line_within_the_edits_shares_a_key():
     rng = random.Random(8)
     import pyarrow as pa
