@@ -5,8 +5,10 @@ Furniture that names itself (navigation, forms, scripts, hidden parts, advert
 and comment containers) is set aside. For every path the text and punctuation
 per text node are summed; both ratios are smoothed over the page, fused, and
 compared with their spread. Blocks of paths above the threshold vote for the
-container they stand in, and all blocks of the best container are the article,
-so a short heading or closing line stays with the text it belongs to.
+container they stand in. The article is the nearest article or main element
+around the best container, or else the lowest container that holds all those
+blocks; all its blocks are kept, so a heading, a lead or a shorter part stays
+with the text it belongs to.
 
 Pages are independent, so the work is one pass over Arrow batches.
 """
@@ -31,8 +33,10 @@ BLOCK = frozenset(
     " tfoot th thead tr ul".split())
 #: Elements that are furniture wherever they stand.
 FURNITURE = frozenset("nav aside footer form button select option input dialog menu head object canvas".split())
-#: Elements that can hold an article.
-CONTAINER = frozenset("article main section div td body html center blockquote".split())
+#: Elements that can hold an article; a quotation is part of one.
+CONTAINER = frozenset("article main section div td body html center".split())
+#: Containers that say of themselves that they hold the whole article.
+WHOLE = ("article", "main")
 #: What may not stand inside what: a start tag closes an open element of its kind up to the given limits.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
           "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -76,14 +80,15 @@ def _marked(name: str, attributes: str) -> bool:
 class Block:
     """Text between two breaks, with the open elements it stands in."""
 
-    __slots__ = ("path", "text", "holder", "skip")
+    __slots__ = ("path", "text", "holder", "whole", "skip")
 
-    def __init__(self, path: str, text: str, holder: tuple[int, ...], skip: bool) -> None:
-        self.path, self.text, self.holder, self.skip = path, text, holder, skip
+    def __init__(self, path: str, text: str, holder: tuple[int, ...], whole: tuple[int, ...], skip: bool) -> None:
+        self.path, self.text, self.holder, self.whole, self.skip = path, text, holder, whole, skip
 
 
 def blocks(page: str) -> list[Block]:
-    """All blocks in page order; ``holder`` lists the numbers of the open containers, outermost first."""
+    """All blocks in page order; ``holder`` lists the numbers of the open containers, outermost first,
+    and ``whole`` those of them that are an article or main element."""
     open_: list[tuple[str, int, bool, bool]] = []  # name, container number, furniture, page header
     found: list[Block] = []
     pieces: list[str] = []
@@ -94,11 +99,12 @@ def blocks(page: str) -> list[Block]:
         pieces.clear()
         if text:
             path = "/".join(x[0] for x in open_ if x[0] in BLOCK)
-            within = any(x[0] in ("article", "main") for x in open_)
+            within = any(x[0] in WHOLE for x in open_)
             headed = any(x[3] for x in open_)
             heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in open_)
             skip = any(x[2] for x in open_) or headed and not (within and heading)
-            found.append(Block(path, text, tuple(x[1] for x in open_ if x[1]), skip))
+            whole = tuple(x[1] for x in open_ if x[0] in WHOLE)
+            found.append(Block(path, text, tuple(x[1] for x in open_ if x[1]), whole, skip))
 
     while at < len(page):
         less = page.find("<", at)
@@ -144,7 +150,7 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         serial += 1
-        marked = _marked(name, attributes) and name not in ("html", "body", "article", "main")
+        marked = _marked(name, attributes) and name not in ("html", "body", *WHOLE)
         if marked and name not in BLOCK:
             flush()
         open_.append((name, serial if name in CONTAINER else 0, marked, name in HEADER))
@@ -192,7 +198,12 @@ def main_text(page: str | None) -> str:
                 held[number] = held.get(number, 0.0) + len(b.text)
     total = sum(len(b.text) for b, good in zip(found, chosen) if good)
     best = max((n for n, size in held.items() if size >= 0.6 * total), default=max(votes, key=votes.get))
-    return "\n".join(b.text for b in found if best in b.holder)
+    # From there outwards to the article it is a part of; without one, the page is the article.
+    inner = next(b for b in found if best in b.holder)
+    around = inner.holder[:inner.holder.index(best) + 1]
+    best = next((n for n in reversed(around) if n in inner.whole), None) or next(
+        (n for n in reversed(around) if held[n] == total), None)
+    return "\n".join(b.text for b in found if best is None or best in b.holder)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,3 +111,21 @@ def test_main_text_of_odd_pages(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html.extract(table).collect()) == [("", 0), ("", 0), ("a", 1)]
     assert html.extract(table.limit(0)).count() == 0
+
+
+def test_parts_of_an_article_stay_together():
+    short, long = "A lead, of some words, that opens it.", "The longer part, with commas, goes on and on, for ever, and more. " * 4
+    long = long.strip()
+    nav = "<nav>Home, news, more</nav>"
+    want = f"T\n{short}\n{long}\n{short}"
+    for part in ("section", "blockquote", "div"):
+        inner = f"<h1>T</h1><p>{short}</p><{part}><p>{long}</p></{part}><p>{short}</p>"
+        for page in (f"<body>{nav}<article>{inner}</article></body>", f"<body>{nav}<main>{inner}</main><footer>c</footer></body>"):
+            assert html.main_text(page) == want, page
+    halves = f"<section><h2>A</h2><p>{long}</p></section><section><h2>B</h2><p>{long[:140]}</p></section>"
+    for page in (f"<body>{nav}<div>{halves}</div></body>", nav + halves):
+        assert html.main_text(page) == f"A\n{long}\nB\n{long[:140].strip()}", page
+    quote = f"<body>{nav}<div><h1>T</h1><blockquote><p>{long}</p></blockquote><p>{short}</p></div></body>"
+    assert html.main_text(quote) == f"T\n{long}\n{short}"
+    table = f"<article><h1>T</h1><table><tr><td>{long}</td><td>x</td></tr></table><p>{short}</p></article>"
+    assert html.main_text(table) == f"T\n{long}\nx\n{short}"
