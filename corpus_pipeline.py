@@ -1,7 +1,8 @@
 """A training-data pipeline over `documents`, in stages that are each written and read again.
 
-Every stage but the last returns the columns of its input. Rows without a
-doc_id pass the stages that work by id.
+Every stage but the last returns the columns of its input. Rejects are found
+and removed by row, that is by id and text together, so rows without an id and
+several texts under one id are decided one by one.
 """
 
 from __future__ import annotations
@@ -10,16 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cabinlift.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from cabinlift.llm.scratch import few
 from cabinlift.sources.shared import written
 
-#: Document ids up to which a list of rejected ones is broadcast; beyond it both sides are shuffled.
-BROADCAST_IDS = 1_000_000
+def _by_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a hash of id and text as the id, for operators that work by id."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the ids listed; rows without an id stay."""
-    ids = written(ids.distinct(), "rejected")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose hashes are listed as ``row_``."""
+    rows = few(written(rows.distinct(), "rejected"))
+    return docs.withColumn("row_", F.xxhash64("doc_id", "text")).join(rows, "row_", "left_anti").select(docs.columns)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of those that share id and text."""
+    keyed = docs.withColumn("row_", F.xxhash64("doc_id", "text"))
+    again = written(keyed.groupBy("row_").count().filter("count > 1").select("row_"), "repeated")
+    if again.isEmpty():
+        return docs
+    again = few(again)
+    one = keyed.join(again, "row_", "left_semi").dropDuplicates(["row_"])
+    return keyed.join(again, "row_", "left_anti").unionByName(one).select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +51,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
-    found = ngram_join.jaccard_components(docs)
-    return _without(docs, found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id"))
+    """Of each group of near copies one row stays, of the smallest id; rows without an id come last."""
+    found = written(
+        ngram_join.jaccard_components(_by_row(docs)).select(F.col("doc_id").alias("row_"), "component_id").distinct(), "groups")
+    groups = found.groupBy("component_id").count().filter("count > 1").select("component_id")
+    ids = docs.select(F.xxhash64("doc_id", "text").alias("row_"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id"))
+    members = written(found.join(groups, "component_id", "left_semi").join(ids.distinct(), "row_"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "row_")).alias("first"))
+    rejected = members.join(first, "component_id").filter(F.col("row_") != F.col("first.row_"))
+    return _once(_without(docs, rejected.select("row_")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
-    found = decontaminate.contamination_report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated").select("doc_id"))
+    found = decontaminate.contamination_report(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("row_")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import corpus_pipeline
 from cabinlift.llm import decontaminate, line_dedup, ngram_join, quality
 from cabinlift.llm.queries import QUERIES
 from tests.conftest import SMALL
+from tests.llm.support import documents
 
 
 def test_stages(spark):
@@ -29,5 +30,21 @@ def test_stages(spark):
     assert ids(last) == ids(seen[4]) == ids(corpus_pipeline.run(spark, SMALL))
 
 
+def test_rows_are_decided_one_by_one(spark):
+    words = [f"w{i}" for i in range(200)]
+    a, b, c = " ".join(words[:60]), " ".join(words[60:120]), " ".join(words[120:])
+    docs = documents(spark, [a, a, a, b, c, c, b + " x", ""], [5, 5, None, 5, None, None, 7, 8])
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(5, a), (5, b), (0, c), (8, "")])
+
+
+def test_contaminated_rows_go_whatever_their_id(spark):
+    bench = next(r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 15)
+    docs = documents(spark, [bench, "clean words here", bench, "clean too"], [1, 1, None, None])
+    got = corpus_pipeline.benchmark_decontamination(spark, docs, SMALL)
+    assert sorted(r["text"] for r in got.collect()) == ["clean too", "clean words here"]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
