@@ -5,8 +5,7 @@ say little alone: a long mixed token (``key``), a named identifier (``login``)
 and a service address (``endpoint``). A weak part is reported only if a
 complementary part lies in its scope, an interval of ``scope`` code points to
 either side: ``key`` needs an identifier or an endpoint, ``login`` and
-``endpoint`` need a secret. Parts are joined on scope-wide cells of their
-document and then compared by interval.
+``endpoint`` need a secret. Parts of a document are compared by interval.
 """
 
 from __future__ import annotations
@@ -26,9 +25,9 @@ HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
 
 # Weak parts.
-KEY = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,128}(?![A-Za-z0-9+/=_-])"
-LOGIN = r"(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,64}"
-ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/@-]{4,256}"
+KEY = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])"
+LOGIN = r"(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
+ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/@-]{4,}"
 WEAK = ("key", "login", "endpoint")
 KINDS = BASE + WEAK
 
@@ -70,29 +69,20 @@ def _sets(text: Column) -> Column:
     return text.contains("=") | text.contains(":")
 
 
-def _near(parts: Column, kinds: tuple[str, ...], scope: int) -> Column:
-    """Interval join inside one text: the cells that parts of ``kinds`` reach, with the parts in them."""
-    cells = F.flatten(F.transform(
-        F.filter(parts, lambda p: p["kind"].isin(*kinds)),
-        lambda p: F.transform(
-            F.sequence(F.floor((p["s"] - scope) / scope), F.floor((p["e"] + scope) / scope)),
-            lambda c: F.struct(c.alias("cell"), p["s"].alias("s"), p["e"].alias("e"))),
-    ))
-    return cells
-
-
 def _linked(parts: Column, scope: int) -> Column:
     """The weak parts that have a complementary part in scope."""
 
     def meets(part: Column, others: Column) -> Column:
-        return F.exists(others, lambda o: (
-            (o["cell"] == F.floor(part["s"] / scope)) & (o["s"] < part["e"] + scope) & (o["e"] > part["s"] - scope)))
+        return F.exists(others, lambda o: (o["s"] < part["e"] + scope) & (o["e"] > part["s"] - scope))
+
+    def of(ps: Column, kinds: tuple[str, ...]) -> Column:
+        return F.filter(ps, lambda p: p["kind"].isin(*kinds))
 
     def decide(ps: Column) -> Column:
         return let(
             F.struct(
-                _near(ps, SECRETS, scope).alias("secrets"),
-                _near(ps, (*IDENTIFIERS, "endpoint"), scope).alias("others")),
+                of(ps, SECRETS).alias("secrets"),
+                of(ps, (*IDENTIFIERS, "endpoint")).alias("others")),
             lambda near: F.filter(ps, lambda p: p["kind"].isin(*WEAK) & (
                 F.when(p["kind"] == "key", meets(p, near["others"])).otherwise(meets(p, near["secrets"])))),
         )
