@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from cabinlift.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from cabinlift.llm.scratch import few
 from cabinlift.sources.shared import written
+#: Words per shingle and least similarity in per cent of this stage; op5's contract of 4 and 85 binds its query only.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
+
 
 def _by_row(docs: DataFrame) -> DataFrame:
     """``docs`` with a hash of id and text as the id, for operators that work by id."""
@@ -53,7 +56,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one row stays, of the smallest id; rows without an id come last."""
     found = written(
-        ngram_join.jaccard_components(_by_row(docs)).select(F.col("doc_id").alias("row_"), "component_id").distinct(), "groups")
+        ngram_join.jaccard_components(_by_row(docs), STAGE_WORDS, STAGE_PERCENT)
+        .select(F.col("doc_id").alias("row_"), "component_id").distinct(), "groups")
     groups = found.groupBy("component_id").count().filter("count > 1").select("component_id")
     ids = docs.select(F.xxhash64("doc_id", "text").alias("row_"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id"))
     members = written(found.join(groups, "component_id", "left_semi").join(ids.distinct(), "row_"), "members")

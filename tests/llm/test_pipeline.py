@@ -39,6 +39,14 @@ def test_rows_are_decided_one_by_one(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(5, a), (5, b), (0, c), (8, "")])
 
 
+def test_copies_from_four_fifths_on_are_near(spark):
+    words = [f"w{i}" for i in range(204)]
+    texts = [" ".join(words[:200]), " ".join([*words[:90], *(f"x{i}" for i in range(17)), *words[107:200]])]
+    assert [r["component_id"] for r in ngram_join.jaccard_components(documents(spark, texts)).orderBy("doc_id").collect()] == [0, 1]
+    rows = corpus_pipeline.ngram_jaccard_join(spark, documents(spark, texts), SMALL).collect()
+    assert [r["doc_id"] for r in rows] == [0]
+
+
 def test_contaminated_rows_go_whatever_their_id(spark):
     bench = next(r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if len((r["text"] or "").split()) > 15)
     docs = documents(spark, [bench, "clean words here", bench, "clean too"], [1, 1, None, None])
