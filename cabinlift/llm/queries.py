@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cabinlift.llm import (
-    ann, decontaminate, html, licences, line_dedup, mixing, ngram_join, pii, quality, secrets,
+    ann, bitsliced, decontaminate, divergence, html, licences, line_dedup, mixing, ngram_join, periodic, pii, quality,
+    secrets,
 )
 
 
@@ -55,9 +56,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.product_report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_secret_scan, op2_source_mix, op3_licence_scan, op4_line_dedup, op5_ngram_join, op6_quality,
-        op7_main_text, op8_contamination, op9_neighbours, op10_personal_data)
+        op7_main_text, op8_contamination, op9_neighbours, op10_personal_data, op11_source_divergence,
+        op12_inner_products, op13_periodic_runs)
+}
+ORACLES: dict[str, str] = {
+    "op11_source_divergence": divergence.ORACLE,
+    "op12_inner_products": bitsliced.ORACLE,
+    "op13_periodic_runs": periodic.ORACLE,
 }
-ORACLES: dict[str, str] = {}
