@@ -48,10 +48,14 @@ def heavy_groups(
     return None if sizes.isEmpty() else sizes
 
 
+def few(table: DataFrame) -> DataFrame:
+    """``table``, which is cheap to read, to be broadcast if its rows are few enough."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def sized(table: DataFrame) -> DataFrame:
     """A written copy of ``table``, to be broadcast if its rows are few enough."""
-    copy = written(table, "sized")
-    return F.broadcast(copy) if copy.count() <= BROADCAST_ROWS else copy
+    return few(written(table, "sized"))
 
 
 def set_apart(

@@ -6,20 +6,20 @@ from dataclasses import asdict, dataclass, fields
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.operators import evaluate, features, hot
+from cabinlift.operators import encode, evaluate, features, forest, hot, ranks
+from cabinlift.operators.stages import AuctionFeatures, ModelInputs, TargetRates, plain
+from cabinlift.sources.shared import written
 
 # Categorical features that are encoded by the rate of their label: those whose
 # values grow with the data. The others are indexed, and a tree needs a
 # histogram bin per value, so each must stay below ``max_bins`` values.
 TARGET_ENCODED = "flight_number"
-# Missing numbers are treated as smaller than every real one.
-MISSING = -1.0e12
 EVAL_METRIC = "AUC"
 
 
@@ -48,101 +48,82 @@ def training_table(
     return features.with_split(built, test_from)
 
 
-def _inputs(table: DataFrame) -> DataFrame:
-    """Model inputs with plain names: strings for categories, doubles for the rest."""
-    columns = {}
-    for name in S.MODEL_FEATURES:
-        column = F.col(f"`{name}`")
-        if name in S.CATEGORICAL_FEATURES:
-            columns[name] = column.cast("string")
-        elif name == "travel_date":
-            columns[name] = F.unix_date(column.cast("date")).cast("double")
-        else:
-            columns[name] = F.coalesce(column.cast("double"), F.lit(MISSING))
-    carried = [name for name in ("id", "label", "split") if name in table.columns]
-    return table.select(
-        *carried, *[column.alias(_plain(name)) for name, column in columns.items()]
-    )
-
-
-def _plain(name: str) -> str:
-    return "f_" + name.replace("%", "pct")
-
-
 def balance_weights(table: DataFrame) -> dict[int, float]:
     """Weight per label from the training rows (two rows reach the driver)."""
     train = table.filter(F.col("split") == "train")
     return {row["label"]: row["class_weight"] for row in features.class_weights(train).collect()}
 
 
-def _weight(table: DataFrame) -> Column:
-    weights = balance_weights(table)
+def _weight(weights: dict[int, float]) -> Column:
     return F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
 
 
 @dataclass(frozen=True)
 class Fitted:
-    """``full`` has every iteration, ``model`` those up to the best one."""
+    """One fit: ``full`` has every iteration, ``model`` those up to the best one.
+
+    Both take plain offers. ``curve`` is the validation AUC after each iteration.
+    """
 
     model: PipelineModel
     full: PipelineModel
     best_iteration: int
+    curve: DataFrame
 
 
 def fit(table: DataFrame, params: Params = Params(), keep_best: bool = True) -> Fitted:
-    """Fit on the training part; the test part picks the number of iterations.
+    """Fit on the training part, once; the test part picks the number of iterations.
 
     ``table`` comes from ``training_table``, best written out first: the
     encoders and the trees each read it. All iterations run. With ``keep_best``
-    the model then ends at the iteration with the highest validation AUC: the
-    same fit, stopped there.
+    the model keeps the trees up to the first iteration with the highest
+    validation AUC; it is cut from the fitted trees, not fitted again.
+
+    Categories named in ``target_encoded`` become rates of their label: a
+    training row gets the rate of the rows before it in a hash order, so it never
+    sees its own label; other rows get the rate over the training part.
     """
-    prepared = _inputs(table)
-    train = prepared.filter(F.col("split") == "train")
-    categories = [_plain(name) for name in S.CATEGORICAL_FEATURES]
-    indexed = {name: f"{name}_index" for name in categories}
+    spark = table.sparkSession
+    inputs = ModelInputs()
+    train = inputs.transform(table.filter(F.col("split") == "train"))
+    wide = [name for name in S.CATEGORICAL_FEATURES if name in params.target_encoded.split(",")]
+    narrow = [plain(name) for name in S.CATEGORICAL_FEATURES if name not in wide]
     indexer = StringIndexer(
-        inputCols=categories, outputCols=list(indexed.values()), handleInvalid="keep"
+        inputCols=narrow, outputCols=[f"{name}_index" for name in narrow], handleInvalid="keep"
     ).fit(train)
-    stages = [indexer]
-    wide = [_plain(name) for name in params.target_encoded.split(",") if _plain(name) in categories]
-    if wide:
-        encoder = TargetEncoder(
-            inputCols=[indexed[name] for name in wide],
-            outputCols=[f"{name}_target" for name in wide],
-            labelCol="label", targetType="binary", handleInvalid="keep", smoothing=1.0,
-        )
-        # The encoder marks its rates as categories; an expression makes them numbers.
-        rates = ", ".join(f"{name}_target + 0.0D AS {name}_rate" for name in wide)
-        stages += [
-            encoder.fit(indexer.transform(train)),
-            SQLTransformer(statement=f"SELECT *, {rates} FROM __THIS__"),
-        ]
-        indexed |= {name: f"{name}_rate" for name in wide}
-    plain = [_plain(name) for name in S.MODEL_FEATURES]
-    stages.append(VectorAssembler(
-        inputCols=[indexed.get(name, name) for name in plain], outputCol="features"
-    ))
-    ready = PipelineModel(stages).transform(train).select(
-        "features", F.col("label").cast("double").alias("label"), _weight(table).alias("weight")
-    )
+    encoders, ready = [], train
+    for name in map(plain, wide):
+        rates = written(encode.target_rates(train, name), "rates")
+        encoders.append(TargetRates.of(rates, name, f"{name}_rate"))
+        ready = encode.ordered_target_rates(ready, name, order=_order(train, params.seed), out=f"{name}_rate")
+    encoded = {name: f"{name}_index" for name in narrow} | {plain(name): f"{plain(name)}_rate" for name in wide}
+    assembler = VectorAssembler(
+        inputCols=[encoded.get(name, name) for name in map(plain, S.MODEL_FEATURES)], outputCol="features")
+    weights = balance_weights(table)
+    ready = assembler.transform(indexer.transform(ready)).select(
+        "features", F.col("label").cast("double").alias("label"), _weight(weights).alias("weight"))
     trees = GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=params.iterations,
         maxDepth=params.depth, stepSize=params.learning_rate, maxBins=params.max_bins,
         seed=params.seed,
-    )
-    full = PipelineModel([*stages, trees.fit(ready)])
-    best = _best_iteration(full, table) if keep_best else None
+    ).fit(ready)
+    before = [AuctionFeatures(), inputs, indexer, *encoders, assembler]
+    full = PipelineModel([*before, trees])
+    curve = written(auc_curve(full, table), "auc_curve")
+    best = _best_iteration(curve) if keep_best else None
     if best is None or best == params.iterations:
-        return Fitted(full, full, params.iterations)
-    shorter = trees.copy({trees.maxIter: best}).fit(ready)
-    return Fitted(PipelineModel([*stages, shorter]), full, best)
+        return Fitted(full, full, params.iterations, curve)
+    return Fitted(PipelineModel([*before, forest.first_trees(spark, trees, best)]), full, best, curve)
 
 
-def _best_iteration(model: PipelineModel, table: DataFrame) -> int | None:
+def _order(train: DataFrame, seed: int) -> list[Column]:
+    """The order in which training rows are seen: a hash of their inputs."""
+    return [F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in train.columns if c != "label"])]
+
+
+def _best_iteration(curve: DataFrame) -> int | None:
     """First iteration with the highest validation AUC; None if there is no AUC."""
-    curve = auc_curve(model, table).filter(F.col("roc_auc").isNotNull())
-    top = curve.orderBy(F.desc("roc_auc"), "iteration").first()
+    top = curve.filter(F.col("roc_auc").isNotNull()).orderBy(F.desc("roc_auc"), "iteration").first()
     return top["iteration"] if top else None
 
 
@@ -150,9 +131,24 @@ def trees_of(model: PipelineModel) -> GBTClassificationModel:
     return model.stages[-1]
 
 
+def on_features(model: PipelineModel) -> PipelineModel:
+    """The model without its first step, for tables whose features are built already."""
+    return PipelineModel(model.stages[1:])
+
+
+def score_offers(model: PipelineModel, offers: DataFrame, threshold: float = evaluate.THRESHOLD) -> DataFrame:
+    """Plain offers with ``score`` and ``prediction``; an auction should be given whole.
+
+    Offers without a complete auction key are not scored and drop out.
+    """
+    rated = model.transform(offers).withColumn("score", vector_to_array("probability")[1])
+    carried = [c for c in offers.columns if c in rated.columns]
+    return evaluate.with_prediction(rated.select(*[F.col(f"`{c}`") for c in carried], "score"), threshold)
+
+
 def score(model: PipelineModel, table: DataFrame, threshold: float = evaluate.THRESHOLD) -> DataFrame:
-    """``id``, ``label``, ``split``, acceptance ``score`` and ``prediction`` per row."""
-    rated = model.transform(_inputs(table)).withColumn("score", vector_to_array("probability")[1])
+    """``id``, ``label``, ``split``, acceptance ``score`` and ``prediction`` per row of a training table."""
+    rated = on_features(model).transform(table).withColumn("score", vector_to_array("probability")[1])
     carried = [name for name in ("id", "label", "split") if name in table.columns]
     return evaluate.with_prediction(rated.select(*carried, "score"), threshold)
 
@@ -167,14 +163,31 @@ def importance_table(model: PipelineModel, spark) -> DataFrame:
     return spark.createDataFrame(importances(model), "feature string, importance double")
 
 
+def change_importances(model: PipelineModel, table: DataFrame) -> list[tuple[str, float]]:
+    """(feature, importance), ascending: by how much each feature changes the prediction on ``table``.
+
+    In per cent. Rows are routed to the leaves and counted there; the counts,
+    one per leaf, and the nodes of the model reach the driver.
+    """
+    spark = table.sparkSession
+    counts = forest.leaf_rows(trees_of(model), _assembled(model, table)).collect()
+    weights = {(row["tree"], row["leaf"]): row["weight"] for row in counts}
+    change = forest.prediction_change(forest.trees_of(spark, trees_of(model)), weights, len(S.MODEL_FEATURES))
+    return sorted(zip(S.MODEL_FEATURES, map(float, change)), key=lambda pair: (pair[1], pair[0]))
+
+
+def change_importance_table(model: PipelineModel, table: DataFrame) -> DataFrame:
+    return table.sparkSession.createDataFrame(change_importances(model, table), "feature string, importance double")
+
+
 def _assembled(model: PipelineModel, table: DataFrame) -> DataFrame:
-    return PipelineModel(model.stages[:-1]).transform(_inputs(table))
+    return PipelineModel(model.stages[1:-1]).transform(table)
 
 
 def loss_curve(model: PipelineModel, table: DataFrame) -> DataFrame:
     """Class-balanced loss after each iteration on both parts (one number each)."""
     ready = _assembled(model, table).select(
-        "features", "split", _weight(table).alias("weight"),
+        "features", "split", _weight(balance_weights(table)).alias("weight"),
         F.col("label").cast("double").alias("label"),
     )
     rows = []
@@ -184,21 +197,16 @@ def loss_curve(model: PipelineModel, table: DataFrame) -> DataFrame:
     return table.sparkSession.createDataFrame(rows, "split string, iteration int, loss double")
 
 
-def auc_curve(model: PipelineModel, table: DataFrame) -> DataFrame:
-    """Validation AUC after each iteration.
-
-    The margin after i trees is the weighted sum of their predictions, so one
-    pass over the rows gives the scores of every prefix.
-    """
-    boosted = trees_of(model)
+def validation_margins(model: PipelineModel, table: DataFrame) -> DataFrame:
+    """label and margins of the test rows: the margin after 1, 2, ... iterations."""
     rated = _assembled(model, table.filter(F.col("split") == "test"))
-    margins, total = [], F.lit(0.0)
-    for i, (tree, weight) in enumerate(zip(boosted.trees, boosted.treeWeights)):
-        rated = tree.setFeaturesCol("features").setPredictionCol(f"_tree{i}").transform(rated)
-        total = total + F.lit(float(weight)) * F.col(f"_tree{i}")
-        margins.append(F.struct(F.lit(i + 1).alias("iteration"), total.alias("score")))
-    prefixes = rated.select("label", F.explode(F.array(*margins)).alias("m")).select("label", "m.*")
-    return evaluate.roc_auc(prefixes, ["iteration"])
+    carried = [name for name in ("id", "label") if name in table.columns]
+    return forest.with_margins(trees_of(model), rated).select(*carried, "margins")
+
+
+def auc_curve(model: PipelineModel, table: DataFrame) -> DataFrame:
+    """Validation AUC after each iteration, from one routing of the test rows."""
+    return ranks.auc_per_score(validation_margins(model, table), "margins")
 
 
 def run_summary(table: DataFrame, params: Params) -> DataFrame:

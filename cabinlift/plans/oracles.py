@@ -377,6 +377,38 @@ ORACLES = {
                    * a.c * b.c)::DOUBLE / (2.0::DOUBLE * sum(a.c * b.c)::DOUBLE) AS roc_auc
         FROM (SELECT score, count(*) AS c FROM scored WHERE label = 1 GROUP BY score) a
         CROSS JOIN (SELECT score, count(*) AS c FROM scored WHERE label = 0 GROUP BY score) b"""),
+    "ordered_target_rates": _with("uniq", """
+        SELECT id, flight_number, (coalesce(sum(label) OVER w, 0) + 0.5::DOUBLE) / (count(*) OVER w + 1.0::DOUBLE)
+                   AS flight_number_rate
+        FROM (SELECT id, flight_number, (offer_status = 'TICKETED')::INTEGER AS label FROM uniq)
+        WINDOW w AS (PARTITION BY flight_number ORDER BY md5(id::VARCHAR)
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""),
+    "target_rates": _with("uniq", """
+        SELECT flight_number AS category, count(*) AS n_rows, count(*) FILTER (offer_status = 'TICKETED') AS n_hits,
+               (count(*) FILTER (offer_status = 'TICKETED') + 0.5::DOUBLE) / (count(*) + 1.0::DOUBLE) AS rate
+        FROM uniq WHERE travel_date < TIMESTAMP '2000-01-01' GROUP BY flight_number"""),
+    "auc_per_score": _with("scored", """
+        , many AS (
+            SELECT k::INTEGER AS iteration, label, ((id * 7919 + k * 31) % (97 * k))::DOUBLE / (97.0::DOUBLE * k)
+                       + (0.1::DOUBLE * k) * label AS score
+            FROM scored CROSS JOIN generate_series(1, 6) g(k)),
+        counted AS (
+            SELECT iteration, score, sum(label) AS hits, sum(1 - label) AS misses FROM many GROUP BY ALL)
+        SELECT iteration, sum(misses * (2 * above + hits))::DOUBLE
+                   / (2.0::DOUBLE * sum(hits)::DOUBLE * sum(misses)::DOUBLE) AS roc_auc
+        FROM (SELECT *, sum(hits) OVER (PARTITION BY iteration ORDER BY score DESC) - hits AS above FROM counted)
+        GROUP BY iteration"""),
+    "gbt_prefix_agreement": _with("uniq", """
+        SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM uniq WHERE travel_date >= TIMESTAMP '2000-01-01'"""),
+    "gbt_saved_model_agreement": _with("uniq", """
+        SELECT count(*) AS n_rows, 0::BIGINT AS n_different FROM uniq"""),
+    "committed_runs": _with("uniq", f"""
+        SELECT {len(S.MODEL_FEATURES)}::BIGINT AS n_features,
+               count(*) FILTER (travel_date < TIMESTAMP '2000-01-01') AS train_rows,
+               count(*) FILTER (travel_date >= TIMESTAMP '2000-01-01') AS test_rows,
+               8::BIGINT AS iterations, 4::BIGINT AS depth,
+               count(*) FILTER (travel_date >= TIMESTAMP '2000-01-01') AS n_scored, TRUE AS best_is_an_iteration
+        FROM uniq"""),
     "pr_points": _with("totals", """
         SELECT tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / p AS recall, score AS threshold
         FROM totals UNION ALL SELECT 1.0::DOUBLE, 0.0::DOUBLE, NULL"""),

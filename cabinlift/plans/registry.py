@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
 from cabinlift.operators import (
+    encode,
     enrich,
     evaluate,
     features,
+    forest,
     groups,
     hygiene,
     learn,
+    ranks,
     snapshots,
     timeline,
 )
 from cabinlift.plans.oracles import ALIVE_COLUMNS, ENRICHED_COLUMNS, QUANTILE_COLUMNS
-from cabinlift.sources import demo
+from cabinlift.sources import demo, runs, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,6 +255,32 @@ def score_histogram(spark, sf_dir):
     return evaluate.score_histogram(demo.scored(spark, sf_dir))
 
 
+@query
+def ordered_target_rates(spark, sf_dir):
+    labelled = features.with_label(demo.unique_offers(spark, sf_dir)).select("id", "flight_number", "label")
+    order = [F.md5(F.col("id").cast("string"))]
+    return encode.ordered_target_rates(labelled, "flight_number", order=order).drop("label")
+
+
+@query
+def target_rates(spark, sf_dir):
+    labelled = features.with_label(demo.unique_offers(spark, sf_dir))
+    train = features.with_split(labelled, demo.TEST_FROM).filter(F.col("split") == "train")
+    return encode.target_rates(train, "flight_number")
+
+
+# Scorings of the same rows that order them ever better and have ties.
+SCORINGS = range(1, 7)
+
+
+@query
+def auc_per_score(spark, sf_dir):
+    noise = lambda k: ((F.col("id") * 7919 + k * 31) % (97 * k)).cast("double")
+    scores = F.array(*[noise(k) / F.lit(97.0 * k) + F.lit(0.1 * k) * F.col("label") for k in SCORINGS])
+    rows = demo.scored(spark, sf_dir).select("label", scores.alias("scores"))
+    return ranks.auc_per_score(rows)
+
+
 # Small enough to fit within a check run; the job's defaults are larger.
 FIT = learn.Params(iterations=8, depth=4)
 _fits: dict[tuple[str, str], learn.Fitted] = {}
@@ -285,6 +315,53 @@ def gbt_importance(spark, sf_dir):
     return learn.importance_table(_fit(spark, sf_dir).model, spark)
 
 
+@query
+def gbt_change_importance(spark, sf_dir):
+    train = _table(spark, sf_dir).filter(F.col("split") == "train")
+    return learn.change_importance_table(_fit(spark, sf_dir).model, train)
+
+
+def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
+    """How many ids have a score, and for how many of them the two tables disagree."""
+    pairs = one.select("id", "score").join(other.select("id", F.col("score").alias("other")), "id", "full")
+    apart = ~F.coalesce(F.abs(F.col("score") - F.col("other")) < 1e-9, F.lit(False))
+    return pairs.agg(F.count("*").alias("n_rows"), F.count(F.when(apart, 1)).alias("n_different"))
+
+
+@query
+def gbt_prefix_agreement(spark, sf_dir):
+    """The model cut after three iterations scores as the one fit did after three."""
+    full, table = _fit(spark, sf_dir).full, _table(spark, sf_dir)
+    cut = PipelineModel([*full.stages[:-1], forest.first_trees(spark, learn.trees_of(full), 3)])
+    margin = learn.validation_margins(full, table).select("id", (1 / (1 + F.exp(-2 * F.col("margins")[2]))).alias("score"))
+    return _differences(learn.score(cut, table.filter(F.col("split") == "test")), margin)
+
+
+@query
+def gbt_saved_model_agreement(spark, sf_dir):
+    """The saved model, read back, scores plain offers as the fitted one scores their features."""
+    path, model = shared.shared_path(spark, "model"), _fit(spark, sf_dir).model
+    model.write().save(path)
+    plain = demo.unique_offers(spark, sf_dir).select("id", *S.TRAINING_INPUT)
+    return _differences(learn.score_offers(PipelineModel.load(path), plain), learn.score(model, _table(spark, sf_dir)))
+
+
+@query
+def committed_runs(spark, sf_dir):
+    """A run that is committed twice is there once."""
+    folder, table = shared.shared_path(spark, "registry"), _table(spark, sf_dir)
+    for _ in range(2):
+        run = runs.run_id({"iterations": FIT.iterations}, table)
+        if not runs.is_committed(spark, folder, run):
+            about = learn.run_summary(table, FIT).first().asDict()
+            about |= gbt_metrics(spark, sf_dir).first().asDict()
+            runs.commit(spark, folder, run, about | {"best_iteration": _fit(spark, sf_dir).best_iteration})
+    found = runs.committed(spark, folder)
+    return found.select("n_features", "train_rows", "test_rows", "iterations", "depth",
+                        F.expr("tp + fp + fn + tn").alias("n_scored"),
+                        F.expr("best_iteration BETWEEN 1 AND iterations").alias("best_is_an_iteration"))
+
+
 @query
 def gbt_loss_curve(spark, sf_dir):
     return learn.loss_curve(_fit(spark, sf_dir).full, _table(spark, sf_dir))
@@ -292,7 +369,7 @@ def gbt_loss_curve(spark, sf_dir):
 
 @query
 def gbt_auc_curve(spark, sf_dir):
-    return learn.auc_curve(_fit(spark, sf_dir).full, _table(spark, sf_dir))
+    return _fit(spark, sf_dir).curve
 
 
 @query

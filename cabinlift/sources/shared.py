@@ -36,12 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed at the end of a ``scratch`` block."""
+    _paths.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the copy."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,19 @@
 """Readers, writers and the three jobs end to end."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime
 from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
 from cabinlift.operators import learn
 from cabinlift.plans import build_snapshots, enrich_offers, train_model
-from cabinlift.sources import demo, shared, tables
+from cabinlift.sources import demo, runs, shared, tables
 from tests.conftest import SMALL
 from tests.support import bag, offer_rows
 
@@ -64,15 +66,17 @@ def test_train_job(spark, enriched_csv, tmp_path, offers):
     source, out = str(tmp_path / "training"), str(tmp_path / "run")
     tables.write_parquet(offers.select(*S.TRAINING_INPUT, "offer_status"), source)
     params = learn.Params(iterations=3, depth=3)
-    train_model.run(spark, source, out, params, demo.TEST_FROM)
-    train_model.run(spark, source, out, params, demo.TEST_FROM)
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
-    metrics = read("metrics").first()
-    test_rows = read("runs").first()["test_rows"]
+    run = train_model.run(spark, source, out, params, demo.TEST_FROM)
+    listed = runs.committed(spark, out)
+    assert train_model.run(spark, source, out, params, demo.TEST_FROM) == run
+    assert runs.committed(spark, out).collect() == listed.collect()
+    read = lambda name: spark.read.parquet(f"{runs.run_path(out, run)}/{name}")
+    about, metrics = listed.first(), read("metrics").first()
+    assert about["run_id"] == run and about["seconds"] > 0 and about["precision"] == metrics["precision"]
+    test_rows = about["test_rows"]
     assert sum(metrics[c] for c in ("tp", "fp", "fn", "tn")) == test_rows
-    assert read("runs").count() == 2
     assert read("confusion").count() == 4
-    assert read("importances").count() == len(S.MODEL_FEATURES)
+    assert read("importances").count() == read("change_importances").count() == len(S.MODEL_FEATURES)
     assert read("score_histogram").agg(F.sum("n_rows")).first()[0] == test_rows
     losses = read("loss_curve").filter("split = 'train'").orderBy("iteration").collect()
     assert losses[-1]["loss"] < losses[0]["loss"]
@@ -80,8 +84,20 @@ def test_train_job(spark, enriched_csv, tmp_path, offers):
     curve = read("auc_curve").orderBy("iteration").collect()
     best = max(curve, key=lambda row: (row["roc_auc"], -row["iteration"]))
     assert [row["iteration"] for row in curve] == [1, 2, 3]
+    assert about["best_iteration"] == best["iteration"]
     assert best["roc_auc"] == pytest.approx(read("roc_auc").first()[0])
-    assert len(learn.trees_of(PipelineModel.load(f"{out}/model")).trees) == best["iteration"]
+    assert len(learn.trees_of(train_model.load_model(out, run)).trees) == best["iteration"]
+    # A fresh session scores plain offers with what was saved.
+    plain, scores = str(tmp_path / "plain.csv"), str(tmp_path / "scores")
+    tables.write_csv(offers.select(*S.TRAINING_INPUT), plain)
+    subprocess.run(
+        [sys.executable, "-m", "cabinlift.plans.score_offers", "--model", f"{runs.run_path(out, run)}/model",
+         "--input", plain, "--output", scores], check=True, cwd=Path(__file__).parent.parent, timeout=300,
+        env=os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYSPARK_SUBMIT_ARGS": "--master local[2] pyspark-shell"})
+    got = spark.read.parquet(scores)
+    fitted = learn.score_offers(train_model.load_model(out, run), offers.select(*S.TRAINING_INPUT))
+    key = lambda df: sorted((r["flight_number"], r["usd_base_amount"], r["offer_time"], round(r["score"], 9)) for r in df.collect())
+    assert key(got) == key(fitted) and got.count() == offers.count()
 
 
 def test_wide_categories_are_target_encoded(spark, offers):
