@@ -6,8 +6,10 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cabinlift import schema as S
 from cabinlift.operators import hygiene, snapshots
@@ -39,26 +41,50 @@ def _unique(offers: DataFrame, min_travel_date: str | None, collapse_exact_dupli
     return written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
 
 
+@dataclass(frozen=True)
+class Report:
+    """What a run left out: auctions with several schedules, and values made null by column."""
+
+    rejected_auctions: int
+    made_null: dict[str, int]
+
+
 def run(
     spark: SparkSession, source: str, output: str, min_travel_date: str | None,
     collapse_exact_duplicates: bool = True, strict: bool = False, **flags,
-) -> int:
-    """Write the snapshots, and beside them the auctions left out for having several schedules.
+) -> Report:
+    """Write the snapshots, and beside them what was left out.
 
-    Those go to ``OUT_rejects`` (key and number of schedules); their number is returned.
+    Auctions with several schedules go to ``OUT_rejects`` (key and number of
+    schedules). Values that do not parse are counted while the offers are read;
+    if there are any, the rows that hold them go to ``OUT_coerced``.
     """
     with scratch(spark):
-        offers = tables.read_snapshot_input(spark, source, strict, min_travel_date)
-        unique = _unique(offers, min_travel_date, collapse_exact_duplicates, strict)
+        raw = tables.raw_snapshot_input(spark, source, min_travel_date)
+        counts = None
+        if strict:
+            typed = tables.conform(raw, S.ENRICHED_SNAPSHOT)
+        else:
+            typed, counts = tables.conform_and_count(raw, S.ENRICHED_SNAPSHOT)
+            if counts and not collapse_exact_duplicates:
+                typed = written(typed, "typed")  # read twice below, counted once
+        unique = written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
+        made_null = {name: n for name, n in (counts.get if counts else {}).items() if n}
         rejects = written(hygiene.schedule_conflicts(unique), "rejects")
+        left_out = {"rejects": rejects}
+        if made_null:
+            left_out["coerced"] = tables.coerced_rows(raw, S.ENRICHED_SNAPSHOT)
         result = snapshots.auction_snapshots(unique, **flags)
         if output.endswith(".csv"):
             tables.write_csv(result, output)
-            tables.write_csv(rejects, f"{output.removesuffix('.csv')}_rejects.csv")
+            for name, table in left_out.items():
+                flat = table.withColumn("made_null", F.array_join("made_null", " ")) if name == "coerced" else table
+                tables.write_csv(flat, f"{output.removesuffix('.csv')}_{name}.csv")
         else:
             tables.write_by_month(result, output)
-            tables.write_parquet(rejects, f"{output.rstrip('/')}_rejects")
-        return rejects.count()
+            for name, table in left_out.items():
+                tables.write_parquet(table, f"{output.rstrip('/')}_{name}")
+        return Report(rejects.count(), made_null)
 
 
 def main() -> None:
@@ -74,13 +100,15 @@ def main() -> None:
                          help="fail on an auction with several schedules instead of leaving it out")
     chosen = options.parse_args()
     spark = build_session("auction-snapshots")
-    left_out = run(
+    report = run(
         spark, chosen.input, chosen.output, chosen.min_travel_date,
         collapse_exact_duplicates=not chosen.keep_duplicates_apart,
         strict=chosen.strict,
         after_last_reading=chosen.after_last_reading, strict_schedule=chosen.strict_schedule,
     )
-    print(f"auctions left out for several schedules: {left_out}")
+    print(f"auctions left out for several schedules: {report.rejected_auctions}")
+    for name, n in report.made_null.items():
+        print(f"values of {name} that did not parse: {n}")
     spark.stop()
 
 

@@ -278,6 +278,13 @@ def _with(last: str, query: str) -> str:
     return f"WITH {body}\n{query}"
 
 
+def _with_other(name: str, body: str, last: str, query: str) -> str:
+    """As ``_with``, from another table under the same name."""
+    used = _ORDER[: _ORDER.index(last) + 1]
+    bodies = {each: CTES[each] for each in used} | {name: body}
+    return "WITH " + ",\n".join(f"{each} AS ({text})" for each, text in bodies.items()) + f"\n{query}"
+
+
 def _rows(cte: str, columns=None) -> str:
     return _with(cte, f"SELECT {_names(columns) if columns else '*'} FROM {cte}")
 
@@ -335,6 +342,26 @@ ORACLES = {
     "alive_offers": _rows("alive", ALIVE_COLUMNS),
     "seats_at_instant": _rows("seated", [*ALIVE_COLUMNS, "current_available_seats", "current_seats_col"]),
     "auction_snapshots": _rows("snapshots"),
+    "snapshots_after_update": _with_other("snapshot_input", f"""
+        WITH before AS ({CTES["snapshot_input"]}),
+        marked AS (SELECT *, date_trunc('month', travel_date) = DATE '1998-03-01' AS here FROM before)
+        SELECT * EXCLUDE (here) REPLACE (CASE WHEN here AND id % 3 = 0 THEN usd_base_amount + 1
+                                         ELSE usd_base_amount END AS usd_base_amount)
+        FROM marked WHERE NOT (here AND id % 7 = 0)
+        UNION ALL SELECT * EXCLUDE (here) REPLACE (item_count + 1 AS item_count) FROM marked WHERE here AND id % 11 = 0""",
+        "snapshots", f"SELECT {_names(S.SNAPSHOT_OUTPUT)} FROM snapshots"),
+    "coercion_report": _with("offers", """
+        SELECT 'item_count' AS "column", count(*) AS made_null FROM offers WHERE id % 13 = 0
+        UNION ALL SELECT 'partner_id', count(*) FROM offers WHERE id % 23 = 0 AND TRY_CAST('1.5' AS DOUBLE) % 1 <> 0
+        UNION ALL SELECT 'created', count(*) FROM offers WHERE id % 17 = 0 AND TRY_CAST('never' AS TIMESTAMP) IS NULL
+        UNION ALL SELECT 'base_amount', count(*) FROM offers WHERE id % 19 = 0 AND TRY_CAST('n/a' AS DOUBLE) IS NULL"""),
+    "coerced_rows": _with("offers", """
+        SELECT id, CASE WHEN id % 13 = 0 THEN 'many' ELSE item_count::VARCHAR END AS item_count,
+               concat_ws(' ', CASE WHEN id % 23 = 0 THEN 'partner_id' END, CASE WHEN id % 13 = 0 THEN 'item_count' END,
+                         CASE WHEN id % 19 = 0 THEN 'base_amount' END, CASE WHEN id % 17 = 0 THEN 'created' END) AS made_null
+        FROM offers WHERE id % 13 = 0 OR id % 17 = 0 OR id % 19 = 0 OR id % 23 = 0"""),
+    "numbered_rows": """
+        SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_no FROM supplier""",
     "group_stats": _rows("stats", ["id", *S.AUCTION_KEY, "num_offers", "usd_base_amount_max"]),
     "amount_bins": _rows("binned", ["id", "usd_base_amount", "usd_base_amount_grp"]),
     "offer_time_bins": _rows("binned", ["id", "offer_time", "offer_time_grp"]),

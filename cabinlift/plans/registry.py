@@ -23,7 +23,8 @@ from cabinlift.operators import (
     timeline,
 )
 from cabinlift.plans.oracles import ALIVE_COLUMNS, ENRICHED_COLUMNS, QUANTILE_COLUMNS
-from cabinlift.sources import demo, runs, shared
+from cabinlift.plans import update_snapshots
+from cabinlift.sources import demo, runs, shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,6 +154,60 @@ def auction_snapshots(spark, sf_dir):
     return snapshots.auction_snapshots(demo.unique_offers(spark, sf_dir))
 
 
+# The month whose offers change in ``snapshots_after_update``.
+CHANGED_MONTH = "1998-03-01"
+
+
+@query
+def snapshots_after_update(spark, sf_dir):
+    """Snapshots of all months after offers of one month were dropped, raised or repeated."""
+    before = _snapshot_input(spark, sf_dir)
+    in_month = F.trunc(F.col("travel_date").cast("date"), "month") == F.lit(CHANGED_MONTH).cast("date")
+    amount = F.when(in_month & (F.col("id") % 3 == 0), F.col("usd_base_amount") + 1).otherwise(F.col("usd_base_amount"))
+    dropped = in_month & (F.col("id") % 7 == 0)
+    repeated = before.filter(in_month & (F.col("id") % 11 == 0)).withColumn("item_count", F.col("item_count") + 1)
+    after = shared.written(before.filter(~dropped).withColumn("usd_base_amount", amount).unionByName(repeated), "after")
+    output = shared.shared_path(spark, "snapshots")
+    tables.write_by_month(auction_snapshots(spark, sf_dir), output)
+    update_snapshots.update(spark, before, after, output, demo.SNAPSHOT_FROM)
+    return spark.read.parquet(output).select(*S.SNAPSHOT_OUTPUT)
+
+
+def _doubtful_offers(spark, sf_dir):
+    """Offers as text, as a CSV reader sees them, some with values that do not fit their type."""
+    raw = demo.raw_offers(spark, sf_dir)
+    text = raw.select(*[F.col(name).cast("string").alias(name) for name in S.OFFERS.fieldNames()])
+    spoiled = {"item_count": (13, "many"), "partner_id": (23, "1.5"), "created": (17, "never"), "base_amount": (19, "n/a"),
+               "multiplier_loyalty": (29, "NaN")}
+    return text.withColumns({
+        name: F.when(F.col("id").cast("bigint") % every == 0, value).otherwise(F.col(name))
+        for name, (every, value) in spoiled.items()})
+
+
+@query
+def coercion_report(spark, sf_dir):
+    """How many values of each column a lenient read makes null, seen while it reads."""
+    typed, counts = tables.conform_and_count(_doubtful_offers(spark, sf_dir), S.OFFERS)
+    typed.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame(
+        [(name, n) for name, n in counts.get.items() if n], "column string, made_null long")
+
+
+@query
+def coerced_rows(spark, sf_dir):
+    rows = tables.coerced_rows(_doubtful_offers(spark, sf_dir), S.OFFERS)
+    return rows.select(F.col("id").cast("bigint").alias("id"), "item_count", F.array_join("made_null", " ").alias("made_null"))
+
+
+@query
+def numbered_rows(spark, sf_dir):
+    """Suppliers as CSV lines in the order of their keys, numbered as they lie in the files."""
+    path = shared.shared_path(spark, "suppliers.csv").replace("suppliers.csv-", "suppliers-") + ".csv"
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
+    tables.write_csv(suppliers.repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey"), path)
+    return tables.read_numbered(spark, path).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", "row_no")
+
+
 @query
 def group_stats(spark, sf_dir):
     return groups.group_stats(demo.unique_offers(spark, sf_dir)).select(

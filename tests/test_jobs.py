@@ -11,8 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.operators import learn
-from cabinlift.plans import build_snapshots, enrich_offers, train_model
+from cabinlift.operators import learn, snapshots
+from cabinlift.plans import build_snapshots, enrich_offers, train_model, update_snapshots
 from cabinlift.sources import demo, runs, shared, tables
 from tests.conftest import SMALL
 from tests.support import bag, offer_rows
@@ -39,8 +39,6 @@ def test_snapshot_job(spark, enriched_csv, tmp_path, offers, kind):
     build_snapshots.run(spark, enriched_csv, out, demo.SNAPSHOT_FROM)
     got = tables.read_table(spark, out, S.SNAPSHOTS)
     assert got.schema == S.SNAPSHOTS
-    from cabinlift.operators import snapshots
-
     assert bag(got) == bag(snapshots.auction_snapshots(offers))
 
 
@@ -171,12 +169,90 @@ def test_auctions_with_several_schedules_are_listed(spark, tmp_path):
         {"id": 3, "flight_number": "2", "event_local_date_48h": datetime(2025, 1, 3, 5)}])
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows.write.parquet(source)
-    assert build_snapshots.run(spark, source, out, "2025-01-01") == 1
+    assert build_snapshots.run(spark, source, out, "2025-01-01") == build_snapshots.Report(1, {})
     made = {r[0] for r in spark.read.parquet(out).select("flight_number").distinct().collect()}
     left = {r[0] for r in spark.read.parquet(f"{out}_rejects").select("flight_number").collect()}
     assert (made, left) == ({"1"}, {"2"})
 
 
+def test_values_that_do_not_parse_are_counted_and_listed(spark, tmp_path):
+    rows = offer_rows(spark, [{"id": i, "flight_number": str(i)} for i in range(1, 6)])
+    text = rows.select(*[F.col(c).cast("string").alias(c) for c in rows.columns]).withColumns({
+        "created": F.when(F.col("id") == 2, "soon").otherwise(F.col("created")),
+        "item_count": F.when(F.col("id").isin(2, 3), "1.5").otherwise(F.col("item_count")),
+        "offer_time": F.when(F.col("id") == 4, "NaN").otherwise(F.col("offer_time"))})
+    source, out = str(tmp_path / "in.csv"), str(tmp_path / "out")
+    tables.write_csv(text, source)
+    for apart in (True, False):
+        report = build_snapshots.run(spark, source, out, "2025-01-01", collapse_exact_duplicates=apart)
+        assert report == build_snapshots.Report(0, {"created": 1, "item_count": 2})
+        listed = {r["id"]: (r["item_count"], set(r["made_null"])) for r in spark.read.parquet(f"{out}_coerced").collect()}
+        assert listed == {"2": ("1.5", {"created", "item_count"}), "3": ("1.5", {"item_count"})}
+    with pytest.raises(PySparkException):
+        build_snapshots.run(spark, source, out, "2025-01-01", strict=True)
+    typed, counts = tables.conform_and_count(rows, S.ENRICHED_SNAPSHOT)
+    assert counts is None and bag(typed) == bag(rows)
+
+
+def parts(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in Path(folder).rglob("*.parquet")}
+
+
+def test_update_equals_a_rebuild_and_leaves_other_months(spark, tmp_path):
+    before = demo.enriched(spark, SMALL).select(*S.SNAPSHOT_INPUT)
+    inside = F.trunc(F.col("travel_date").cast("date"), "month") == F.lit("1999-01-01").cast("date")
+    ids = [r[0] for r in before.filter(inside).select("id").distinct().orderBy("id").limit(4).collect()]
+    away = before.filter(~inside & (F.col("travel_date") >= "1996-01-01")).orderBy("id").first()
+    moved = before.filter(F.col("id") == ids[0]).withColumn("id", F.lit(away["id"]))  # an id of another month comes back
+    without_id = before.filter(F.col("id") == ids[1]).withColumn("id", F.lit(None).cast("bigint"))
+    after = before.filter(~F.col("id").isin(ids[2:])).unionByName(moved).unionByName(without_id)
+    paths = {name: str(tmp_path / name) for name in ("before", "after", "made", "anew")}
+    for name, df in (("before", before), ("after", after)):
+        tables.write_by_month(df, paths[name])
+    build_snapshots.run(spark, paths["before"], paths["made"], demo.SNAPSHOT_FROM)
+    old = parts(paths["made"])
+    months = update_snapshots.run(spark, paths["before"], paths["after"], paths["made"], demo.SNAPSHOT_FROM)
+    assert "1999-01-01" in months and 2 <= len(months) < 20
+    build_snapshots.run(spark, paths["after"], paths["anew"], demo.SNAPSHOT_FROM)
+    made, anew = (spark.read.parquet(paths[name]).select(*S.SNAPSHOT_OUTPUT) for name in ("made", "anew"))
+    assert bag(made) == bag(anew)
+    new = parts(paths["made"])
+    untouched = lambda files: {k: v for k, v in files.items() if k.split("=")[1][:10] not in months}
+    assert untouched(old) == untouched(new) != {}
+    assert update_snapshots.run(spark, paths["after"], paths["after"], paths["made"], demo.SNAPSHOT_FROM) == []
+    assert parts(paths["made"]) == new
+
+
+def test_update_empties_a_month(spark, tmp_path):
+    rows = [{"id": 1}, {"id": 2, "travel_date": datetime(2025, 3, 1)}]
+    before, after, out = offer_rows(spark, rows), offer_rows(spark, rows[:1]), str(tmp_path / "out")
+    tables.write_by_month(snapshots.auction_snapshots(before), out)
+    assert update_snapshots.update(spark, before, after, out, None) == ["2025-03-01"]
+    assert {r["id"] for r in spark.read.parquet(out).collect()} == {1}
+
+
+@pytest.mark.parametrize("quoted", [False, True])
+def test_rows_are_numbered_as_they_lie(spark, tmp_path, quoted):
+    folder = tmp_path / "rows.csv"
+    folder.mkdir()
+    texts = [f"row {i}" + ("\nmore" if quoted and i % 50 == 7 else "") + 'x, "y"' * (i % 3) for i in range(900)]
+    line = lambda t: '"' + t.replace('"', '""') + '"\n'
+    for name, some in (("a.csv", texts[:600]), ("b.csv", texts[600:600]), ("c.csv", texts[600:])):
+        (folder / name).write_text("text,row_no\n" + "".join(line(t).replace("\n", ",9\n") if "more" not in t else line(t)[:-1] + ",9\n" for t in some))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        assert tables.breaks_in_quotes(spark, str(folder)) == quoted
+        got = tables.read_numbered(spark, str(folder))
+        assert got.columns == ["text", "row_no"]
+        assert [r["text"] for r in got.orderBy("row_no").collect()] == texts
+        assert sorted(r["row_no"] for r in got.collect()) == list(range(900))
+        tasks = tables._raw(spark, str(folder)).rdd.getNumPartitions()
+        assert tasks > 5 if not quoted else tasks >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_input_order_decides_the_kept_flight(spark, tmp_path):
     folder = tmp_path / "flights.csv"
     folder.mkdir()
