@@ -12,9 +12,11 @@ and place alone. The product runs in two rounds:
    entries of different components meet within the bounds.
 
 Pairs inside a component need no second look, so a large group of near copies
-costs one comparison a copy. A parity sketch of each set bounds from below in how
-many n-grams two sets differ, and discards pairs that differ in too many; for
-the others, overlaps are counted over whole sets.
+costs one comparison a copy. Overlaps found in the prefix columns are added up
+per pair, and pairs go whose sum leaves too little for what comes after. A parity
+sketch of each set, as long as its size asks for, bounds from below in how many
+n-grams two sets differ, and discards pairs that differ in too many; for the few
+others, overlaps are counted over whole sets.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ FREQUENT = 1 << 20
 COUNTED = 2_000_000
 #: Growth of set sizes from one block of a column to the next, and rows per block that are split further.
 BAND, BLOCK_ROWS = 1.05, 2_000
-#: Longs of a set's sketch; sets of several thousand n-grams differ in more places than it can show.
+#: Longs of the shortest sketch; larger sets have longer ones, at least a bit per n-gram.
 SKETCH = 16
 
 
@@ -105,8 +107,12 @@ def _frequent(docs: DataFrame, n: int, scratch: Scratch) -> tuple[np.ndarray, np
 
 
 def _sketch(one: np.ndarray) -> np.ndarray:
-    """Bit h is the parity of the n-grams that hash to h: two sketches differ in no more bits than their sets in n-grams."""
-    odd = np.bincount((one % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    """Bit h is the parity of the n-grams that hash to h: two sketches differ in no more bits than their sets in n-grams.
+
+    Its length is a power of two times ``SKETCH``; folded by halves it is the shorter sketch of the same set.
+    """
+    bits = 64 * SKETCH << max(0, (len(one) - 1).bit_length() - (64 * SKETCH - 1).bit_length())
+    odd = np.bincount((one % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -139,8 +145,8 @@ def _whole_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grams.slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.view(np.int64) for s in _sets(batch, n)], pa.list_(pa.int64()))],
-                names=["node", "shingles"])
+                [batch.column("node"), batch.column("b"), pa.array([s.view(np.int64) for s in _sets(batch, n)], pa.list_(pa.int64()))],
+                names=["node", "b", "shingles"])
 
     return run
 
@@ -153,21 +159,42 @@ def _room(percent: int, ni: Column, pi: Column, nj: Column, pj: Column) -> Colum
 def _likely(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches leave it open that the sets link; a node may have several sets."""
     side = lambda x: heads.select(F.col("doc_id").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("sketch" + x))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    size = F.least(F.size("sketcha"), F.size("sketchb"))
+
+    def folded(sketch: str) -> Column:
+        parts = lambda i: F.transform(F.sequence(i, F.size(sketch) - 1, size), lambda j: F.get(sketch, j))
+        longer = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(parts(i), F.lit(0).cast("long"), xor))
+        return F.when(F.size(sketch) == size, F.col(sketch)).otherwise(longer)
+
     differing = F.aggregate(
-        F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+        F.zip_with(folded("sketcha"), folded("sketchb"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda total, x: total + x)
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
         .filter(differing * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
     )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets overlap enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, once: bool) -> DataFrame:
+    """The pairs (a, b) whose whole sets overlap enough.
+
+    ``pairs`` is a written table. While it is small, the sets of a are made where
+    their texts are read and sent once per pair, those of b once each; without
+    ``once`` equal sets under one id are told apart.
+    """
+    ids = few(pairs.select(F.col("b").alias("node")).distinct())
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    left = texts.join(few(pairs), F.col("node") == F.col("a")).select("node", "b", "text").mapInArrow(
+        _whole_sets(words), "node long, b long, shingles array<long>")
+    right = texts.join(ids, "node", "left_semi").select("node", F.lit(None).cast("long").alias("b"), "text").mapInArrow(
+        _whole_sets(words), "node long, b long, shingles array<long>")
+    left = left.select(F.col("node").alias("a"), "b", F.col("shingles").alias("sa"))
+    right = right.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    if not once:  # repeated rows would repeat each link
+        left, right = left.dropDuplicates(), right.dropDuplicates()
     shared = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "a").join(right, "b").withColumn("shared", shared)
+        left.join(right, "b").withColumn("shared", shared)
         .filter(F.col("shared") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("shared")))
         .select("a", "b")
     )
@@ -248,12 +275,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         """The pairs that link, by the whole sets of just the documents in them."""
         own = Scratch()
         pairs = own.write(_likely(pairs, sketches, percent), "likely")
-        ids = own.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-        texts = docs.join(few(ids), "doc_id", "left_semi")
-        sets = texts.mapInArrow(_whole_sets(words), "node long, shingles array<long>")
-        if repeats:  # repeated rows would repeat each link
-            sets = sets.dropDuplicates(["node", "shingles"])
-        found = scratch.write(_linked(pairs, own.write(sets, "sets"), percent).distinct(), "links")
+        found = scratch.write(_linked(pairs, docs, words, percent, not repeats).distinct(), "links")
         own.free()
         return found
 
@@ -271,7 +293,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         (F.col("component_i") != F.col("component_p"))
         & ((F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("node_i") < F.col("node_p"))))
         & _room(percent, F.col("n_i"), F.col("pos_i"), F.col("n_p"), F.col("pos_p"))
-    ).select(*pair("node_i", "node_p")).distinct().join(first, ["a", "b"], "left_anti")
+    )
+    sides = ["node_i", "node_p", "n_i", "n_p"]
+    met = second.groupBy(*sides).agg(F.count("*").alias("met"), F.max("pos_i").alias("last_i"), F.max("pos_p").alias("last_p"))
+    if not repeats:  # columns are met in their order, so what is still to come lies behind the last one
+        rest = F.least(F.col("n_i") - F.col("last_i"), F.col("n_p") - F.col("last_p")) - 1
+        met = met.filter((F.col("met") + rest) * (100 + percent) >= percent * (F.col("n_i") + F.col("n_p")))
+    second = met.select(*pair("node_i", "node_p")).distinct().join(first, ["a", "b"], "left_anti")
     found = components(links.unionByName(checked(scratch.write(second, "second"))))
     scratch.free(rows, classes)
     named = (
