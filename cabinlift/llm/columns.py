@@ -64,6 +64,32 @@ def places(text: Column, pattern: Column, measure: Callable[[Column], Column] =
     return _running(lens)
 
 
+def scanned(
+    items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column]
+) -> Column:
+    """``emit(state, item)`` for every item, where the state has stepped over the items before it.
+
+    Linear in the items: whole runs are stepped over first, and each run is then
+    gone through from the state it begins with.
+    """
+
+    def one(run: Column, base: Column) -> Column:
+        start = F.struct(base.alias("state"), F.slice(F.transform(run, lambda x: emit(base, x)), 1, 0).alias("out"))
+        return F.aggregate(
+            run, start,
+            lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out")),
+            lambda acc: acc["out"])
+
+    def whole(xs: Column) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda k: F.slice(xs, k * RUN + 1, F.lit(RUN)))
+        bases = lambda rs: F.aggregate(
+            rs, F.array(zero), lambda acc, r: F.concat(acc, F.array(F.aggregate(r, F.element_at(acc, -1), step))))
+        return let(runs, lambda rs: let(bases(rs), lambda bs: F.flatten(F.transform(rs, lambda r, i: one(r, bs[i])))))
+
+    return let(items, lambda xs: F.when(F.size(xs) <= RUN, one(xs, zero)).otherwise(whole(xs)))
+
+
 def digest(items: Column) -> Column:
     """Lowercase hex SHA-256 of the comma-joined strings."""
     return F.sha2(F.array_join(items, ","), 256)

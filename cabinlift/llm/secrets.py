@@ -4,16 +4,20 @@ Strong findings (``assign``, ``access``, ``hex``) stand on their own. Weak parts
 say little alone: a long mixed token (``key``), a named identifier (``login``)
 and a service address (``endpoint``). A weak part is reported only if a
 complementary part lies in its scope, an interval of ``scope`` code points to
-either side: ``key`` needs an identifier or an endpoint, ``login`` and
-``endpoint`` need a secret. Parts of a document are compared by interval.
+either side: ``key`` and ``inline`` (a password inside an address) need an
+identifier or an endpoint, ``login`` and ``endpoint`` need a secret. Parts are
+joined by interval in two sweeps over their places, one from either end, so the
+work grows with their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cabinlift.llm.columns import digest, let, places
+from cabinlift.llm.columns import digest, let, places, scanned
 
 # The patterns of the data contract, in its order.
 ASSIGN = (
@@ -24,17 +28,30 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE = ("assign", "access", "hex")
 
-# Weak parts.
-KEY = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}+(?![A-Za-z0-9+/=_-])"
+# Weak parts. Keys are long mixed runs, or tokens that begin with the mark of a service.
+KEY = (
+    r"(?<![A-Za-z0-9+/=_-])(?:"
+    r"(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}+"
+    r"|(?:gh[pousr]|github_pat|glpat|xox[abeoprs]|[sr]k_(?:live|test)|pk_live|npm|pypi|hf|dop_v1|shpat|SG)[_.-][A-Za-z0-9_.-]{16,}+"
+    r"|AIza[A-Za-z0-9_-]{30,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+"
+    r")(?![A-Za-z0-9+/=_-])")
+#: What every key has: a long run of its characters, or a mark.
+KEY_HINT = r"[A-Za-z0-9+/]{32}|(?:gh[pousr]|github_pat|glpat|xox[abeoprs]|[sr]k_(?:live|test)|pk_live|npm|pypi|hf|dop_v1|shpat|SG)[_.-]|AIza|eyJ"
 LOGIN = r"(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
+#: A password inside an address: it stands between the name and the host.
+INLINE = r"(?<=://[A-Za-z0-9._~-]{1,64}:)[^\x00-\x20:/@\"'<>]{4,}(?=@[A-Za-z0-9.-])"
 ENDPOINT = r"(?i)\b(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._~:/@-]{4,}"
-WEAK = ("key", "login", "endpoint")
+WEAK = ("key", "login", "endpoint", "inline")
 KINDS = BASE + WEAK
 
 #: Code points to either side in which a complementary part counts.
 SCOPE = 200
 
-IDENTIFIERS, SECRETS = ("access", "login"), ("assign", "hex", "key")
+#: Beyond any place in a text.
+FAR = 1 << 30
+
+IDENTIFIERS, SECRETS = ("access", "login"), ("assign", "hex", "key", "inline")
 
 
 def _found(text: Column, pattern: str, kind: str, hint: Column) -> Column:
@@ -69,31 +86,43 @@ def _sets(text: Column) -> Column:
     return text.contains("=") | text.contains(":")
 
 
-def _linked(parts: Column, scope: int) -> Column:
-    """The weak parts that have a complementary part in scope."""
+def _near(spans: Column, other: Callable[[Column], Column], of: Callable[[Column], Column], scope: int, near: bool = True) -> Column:
+    """The spans that ``of`` picks with one of the others within ``scope``; without ``near`` those with none.
 
-    def meets(part: Column, others: Column) -> Column:
-        return F.exists(others, lambda o: (o["s"] < part["e"] + scope) & (o["e"] > part["s"] - scope))
+    By their places: of the others that start no later the one that ends last is
+    asked, and of those that start later the first.
+    """
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(
+        x["s"].alias("s"), F.when(other(x), 0).otherwise(1).alias("part"), x["e"].alias("e"), x["kind"].alias("kind"))))
+
+    def decide(xs: Column) -> Column:
+        seen = lambda state, x: state
+        last = scanned(xs, F.lit(-FAR), lambda state, x: F.when(x["part"] == 0, F.greatest(state, x["e"])).otherwise(state), seen)
+        first = F.reverse(scanned(
+            F.reverse(xs), F.lit(FAR), lambda state, x: F.when(x["part"] == 0, x["s"]).otherwise(state), seen))
+        sides = F.zip_with(last, first, lambda a, b: F.struct(a.alias("last"), b.alias("first")))
+        met = F.zip_with(xs, sides, lambda x, y: F.struct(
+            x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"),
+            ((y["last"] > x["s"] - scope) | (y["first"] < x["e"] + scope)).alias("met")))
+        picked = F.filter(met, lambda x: of(x) & (x["met"] if near else ~x["met"]))
+        return F.transform(picked, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
-    def of(ps: Column, kinds: tuple[str, ...]) -> Column:
-        return F.filter(ps, lambda p: p["kind"].isin(*kinds))
+    return let(order, decide)
 
-    def decide(ps: Column) -> Column:
-        return let(
-            F.struct(
-                of(ps, SECRETS).alias("secrets"),
-                of(ps, (*IDENTIFIERS, "endpoint")).alias("others")),
-            lambda near: F.filter(ps, lambda p: p["kind"].isin(*WEAK) & (
-                F.when(p["kind"] == "key", meets(p, near["others"])).otherwise(meets(p, near["secrets"])))),
-        )
 
-    return let(parts, decide)
+def _linked(parts: Column, scope: int) -> Column:
+    """The weak parts that have a complementary part in scope."""
+    named = lambda x: x["kind"].isin(*IDENTIFIERS, "endpoint")
+    secret = lambda x: x["kind"].isin(*SECRETS)
+    return F.concat(
+        _near(parts, named, lambda x: x["kind"].isin("key", "inline"), scope),
+        _near(parts, secret, lambda x: x["kind"].isin("login", "endpoint"), scope))
 
 
 def _apart(weak: Column, strong: Column) -> Column:
     """Weak spans that touch no strong one; what a strong span covers is already reported."""
-    return let(strong, lambda st: F.filter(
-        weak, lambda w: ~F.exists(st, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
+    is_strong = lambda x: x["kind"].isin(*BASE)
+    return _near(F.concat(strong, weak), is_strong, lambda x: ~is_strong(x), 0, near=False)
 
 
 def _written(spans: Column) -> Column:
@@ -115,8 +144,9 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
                       _found(body, HEX, "hex", F.lit(True)))
     docs = docs.withColumn("strong", strong)
     hints = F.concat(
-        _found(body, KEY, "key", body.rlike("[A-Za-z0-9+/]{32}")), _found(body, LOGIN, "login", _sets(body)),
-        _found(body, ENDPOINT, "endpoint", body.contains("://")))
+        _found(body, KEY, "key", body.rlike(KEY_HINT)), _found(body, LOGIN, "login", _sets(body)),
+        _found(body, ENDPOINT, "endpoint", body.contains("://")),
+        _found(body, INLINE, "inline", body.contains("://") & body.contains("@")))
     docs = docs.withColumn("weak", hints)
     apart = F.when(F.size("strong") > 0, _apart(F.col("weak"), F.col("strong"))).otherwise(F.col("weak"))
     linked = _linked(F.concat(F.col("strong"), apart), scope)
