@@ -93,10 +93,23 @@ _DIGIT = "(?:" + "|".join(DIGITS) + ")"
 #: Runs of at least four spelled digits, so that a number word in prose stays a word.
 SPELLED = re.compile(rf"\b{_DIGIT}(?:[\x20,-]{{0,2}}\b{_DIGIT}){{3,}}\b", re.I)
 PLUS = re.compile(r"\bplus\x20(?=[0-9])", re.I)
-AT = re.compile(r"\x20?(?:\(\x20?at\x20?\)|\[\x20?at\x20?\]|\{\x20?at\x20?\}|<at>)\x20?", re.I)
-DOT = re.compile(r"\x20?(?:\(\x20?dot\x20?\)|\[\x20?dot\x20?\]|\{\x20?dot\x20?\}|<dot>)\x20?|(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9])", re.I)
-#: The bare word counts as @ only before a name with a dot, written or already rewritten.
+#: A number after a plus of which some digits are words; a single word after the last digits is prose.
+MIXED = re.compile(rf"\+(?:[\x20().-]{{0,2}}(?:[0-9]+|\b{_DIGIT}\b)){{2,20}}", re.I)
+LAST_WORD = re.compile(rf"(?<=[0-9])[\x20().-]{{1,2}}{_DIGIT}\Z", re.I)
+AT = re.compile(
+    r"\x20?(?:\(\x20?(?:at|@)\x20?\)|\[\x20?(?:at|@)\x20?\]|\{\x20?(?:at|@)\x20?\}|<at>)\x20?"
+    r"|(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]+(?:\.|_dot_|\x20dot\x20|\x20?[(\[{]))", re.I)
+DOT = re.compile(
+    r"\x20?(?:\(\x20?(?:dot|\.)\x20?\)|\[\x20?(?:dot|\.)\x20?\]|\{\x20?(?:dot|\.)\x20?\}|<dot>)\x20?"
+    r"|(?<=[A-Za-z0-9])(?:\x20dot\x20|_dot_)(?=[A-Za-z0-9])", re.I)
+#: The bare word may count as @ only before a name with a dot, written or already rewritten.
 BARE_AT = re.compile(r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+\.[A-Za-z])", re.I)
+#: What makes "word at host" an address in prose: it is announced, or it stands alone and the word does nothing there.
+CUE = re.compile(r"(?:\be?-?mails?|\bcontact|\bwrite to|\breach|\baddress|\bmsg|\bping)\b[^.!?\n]{0,24}\Z", re.I)
+ALONE = re.compile(r"(?:\A|[\n:;,<(\"'])\s*\Z")
+VERBS = frozenset(
+    "look looks looked looking see seen read found find available hosted located live lives based buy sold shop stay meet"
+    " visit us me here there online work works worked start stop more order apply register download watch listen published".split())
 
 
 class Mapped:
@@ -146,6 +159,31 @@ def _joined(text: str) -> Iterator[tuple[int, int, str]]:
             yield m.start() + gap.start(), m.start() + gap.end(), ""
 
 
+def _mixed(text: str) -> Iterator[tuple[int, int, str]]:
+    """The spelled digits of numbers after a plus."""
+    for m in MIXED.finditer(text):
+        number = LAST_WORD.sub("", m.group())
+        for word in re.finditer(r"[A-Za-z]+", number):
+            yield m.start() + word.start(), m.start() + word.end(), DIGITS[word.group().lower()]
+
+
+def _bare_at(mapped: "Mapped") -> Iterator[tuple[int, int, str]]:
+    """" at " before a host, if more than the word before it speaks for an address."""
+    text = mapped.text
+    for m in BARE_AT.finditer(text):
+        start = m.start()
+        while start and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        local, host = text[start:m.start()], DOMAIN.match(text, m.end())
+        hidden_dot = host and any(
+            text[i] == "." and mapped.ends[i] - mapped.starts[i] > 1 for i in range(host.start(), host.end()))
+        named = any(c in "0123456789._%+-" for c in local.strip(".-"))
+        alone = local.lower() not in VERBS and ALONE.search(text[max(0, start - 8):start]) and not re.match(
+            r"\x20[A-Za-z]", text[host.end():host.end() + 2] if host else "")
+        if hidden_dot or named or alone or CUE.search(text[max(0, start - 40):start]):
+            yield m.start(), m.end(), "@"
+
+
 def _words(pattern: re.Pattern, new: str):
     return lambda text: ((m.start(), m.end(), new) for m in pattern.finditer(text))
 
@@ -154,8 +192,9 @@ def _disguised(text: str) -> tuple[bool, bool, bool]:
     """Which transducers can change this text; tests that a plain text passes fast."""
     odd = not text.isascii() and ODD.search(text) is not None
     low = text.lower()
-    spelled = any(word in low for word in DIGITS if word not in ("one", "oh"))
-    marks = "dot" in low or any(x in low for x in ("(at", "( at", "[at", "[ at", "{at", "{ at", "<at>")) or " at " in low and odd
+    spelled = any(word in low for word in DIGITS if "+" in low or word not in ("one", "oh"))
+    signs = ("(at", "( at", "[at", "[ at", "{at", "{ at", "<at>", "(@", "[@", "{@", "( @", "[ @", "_at_", "(.", "[.", "{.", "( .", "[ .")
+    marks = "dot" in low or any(x in low for x in signs) or " at " in low and odd
     return odd, spelled, marks or " at " in low and "." in low
 
 
@@ -173,9 +212,12 @@ def hidden_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str
         if mapped.text != before:
             mapped.rewrite(_joined(mapped.text))
             mapped.rewrite(_words(PLUS, "+")(mapped.text))
+        if "+" in mapped.text:
+            mapped.rewrite(_mixed(mapped.text))
     if marks or odd:
-        for pattern, new in ((AT, "@"), (DOT, "."), (BARE_AT, "@")):
+        for pattern, new in ((AT, "@"), (DOT, ".")):
             mapped.rewrite(_words(pattern, new)(mapped.text))
+        mapped.rewrite(_bare_at(mapped))
     if mapped.text == text:
         return []
     found = []
