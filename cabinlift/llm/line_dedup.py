@@ -27,7 +27,7 @@ from xxhash import xxh64_intdigest
 from cabinlift.llm.columns import let
 from cabinlift.llm.components import components
 from cabinlift.llm.grams import mixed, slices
-from cabinlift.llm.scratch import BROADCAST_ROWS, Scratch, few
+from cabinlift.llm.scratch import BROADCAST_ROWS, Scratch, few, unused
 
 #: Edits up to which two lines are the same.
 EDITS = 2
@@ -42,8 +42,8 @@ WORD = r"^[\p{L}\p{M}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{
 BLOCK_ROWS = 2_000
 #: Line numbers in all up to which the lines to drop are broadcast.
 BROADCAST_DROPS = 2_000_000
-#: Pairs compared side by side.
-PAIRS = 512
+#: Pairs compared side by side, and characters of a side in all.
+PAIRS, CHARS = 512, 1 << 21
 
 
 def _lines(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
@@ -53,7 +53,7 @@ def _lines(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
     if short:
         counts = counts | (F.col("s") != "") & ~F.col("s").rlike(WORD)
     return (
-        docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+        docs.filter(F.col("text").isNotNull())
         .select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
         .select("doc_id", "body", "no", s.alias("s")).filter(counts)
         .withColumn("line", F.xxhash64("s"))
@@ -137,15 +137,36 @@ def banded_distance(a: list[str], b: list[str], k: int) -> np.ndarray:
     return np.where(np.abs(m - n) > k, k + 1, score)
 
 
+def _trimmed(a: str, b: str, margin: int = 32) -> tuple[str, str]:
+    """Two texts without what they begin and end with alike, which edits need not touch; but for a margin."""
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    n = min(len(x), len(y))
+    apart = np.flatnonzero(x[:n] != y[:n])
+    start = int(apart[0]) if len(apart) else n
+    apart = np.flatnonzero(x[len(x) - n + start:][::-1] != y[len(y) - n + start:][::-1])
+    end = int(apart[0]) if len(apart) else n - start
+    start, end = max(0, start - margin), max(0, end - margin)
+    return a[start:len(a) - end], b[start:len(b) - end]
+
+
 def _verify(k: int):
-    """Arrow function: pairs with their texts to the pairs that are near."""
+    """Arrow function: pairs with their texts to the pairs that are near.
+
+    Pairs of about the same length are compared side by side, as many as keep
+    within ``CHARS``; long ones are trimmed first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb"))), key=lambda r: len(r[2]))
-            near = []
-            for at in range(0, len(rows), PAIRS):
-                some = rows[at:at + PAIRS]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "sa", "sb")))
+            rows = [(a, b, *(_trimmed(x, y) if len(x) > 256 else (x, y))) for a, b, x, y in rows]
+            rows.sort(key=lambda r: max(len(r[2]), len(r[3])))
+            near, at = [], 0
+            while at < len(rows):
+                end = at + 1
+                while end < len(rows) and end - at < PAIRS and (end - at + 1) * max(len(rows[end][2]), len(rows[end][3])) <= CHARS:
+                    end += 1
+                some, at = rows[at:end], end
                 far = banded_distance([r[2] for r in some], [r[3] for r in some], k)
                 near += [r[:2] for r, d in zip(some, far) if d <= k]
             yield pa.RecordBatch.from_arrays(
@@ -187,7 +208,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     """node, component: lines (hashes) that are near another one, with the smallest hash they reach."""
     lines = _lines(docs, least)
     scratch = Scratch()
-    entries = docs.filter(F.col("doc_id").isNotNull()).select("text").mapInArrow(
+    entries = docs.select("text").mapInArrow(
         _segments(edits, least), "key long, line long, own boolean")
     keys = (
         entries.groupBy("key").agg(
@@ -229,11 +250,12 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     Lines are taken without blanks at their ends. From ``least`` code points on
     they repeat each other within ``edits`` edits, shorter ones if they are
     equal; of a class of lines the one of the smallest (doc_id, line number)
-    stays. Blank lines and shorter ones that are a bare ``WORD`` stay. One row in, one row out, all columns
-    pass through; columns already called ``n_lines``, ``n_dropped`` or ``body_``
-    are replaced. A null text stays null with 0 lines, an empty one is one line.
-    Rows without a doc_id are not touched and claim no line. Rows that repeat a
-    document are the same document, so each keeps its first lines.
+    stays, rows without an id coming last. Blank lines and shorter ones that are
+    a bare ``WORD`` stay. One row in, one row out, all columns pass through;
+    columns already called ``n_lines`` or ``n_dropped`` are replaced. A null text
+    stays null with 0 lines, an empty one is one line. Several texts under one id
+    are documents of their own. Rows that repeat both id and text are the same
+    document, so each keeps its first lines.
     """
     scratch = Scratch()
     named = few(scratch.write(line_classes(docs, edits, least).withColumnRenamed("node", "line"), "classes"))
@@ -241,26 +263,28 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
         _lines(docs, least, short=True).select("doc_id", "body", "no", "line").join(named, "line", "left")
         .select("doc_id", "body", "no", F.coalesce("component", "line").alias("line"))
     )
-    at = F.struct("doc_id", "no")
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no", "body")
     firsts = few(scratch.write(
         places.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").drop("last"),
         "firsts"))
     drops = scratch.write(
-        places.join(firsts, "line").filter(at != F.col("first"))
+        places.join(firsts, "line").filter(~at.eqNullSafe(F.col("first")))
         .groupBy("doc_id", "body").agg(F.collect_set("no").alias("drops")), "drops")
     some, lines = drops.agg(F.count("*"), F.coalesce(F.sum(F.size("drops")), F.lit(0))).first()
     scratch.free(drops)
     small = some <= BROADCAST_ROWS and lines <= BROADCAST_DROPS
-    drops = drops.select(F.col("doc_id").alias("of_"), F.col("body").alias("in_"), "drops")
-    joined = docs.drop("n_lines", "n_dropped", "body_").withColumn("body_", F.xxhash64("text")).join(
-        F.broadcast(drops) if small else drops, (F.col("doc_id") == F.col("of_")) & (F.col("body_") == F.col("in_")), "left")
+    docs = docs.drop("n_lines", "n_dropped")
+    of, in_, gone, body = unused(docs, "of_", "in_", "drops", "body_")
+    drops = drops.select(F.col("doc_id").alias(of), F.col("body").alias(in_), F.col("drops").alias(gone))
+    joined = docs.withColumn(body, F.xxhash64("text")).join(
+        F.broadcast(drops) if small else drops, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(body) == F.col(in_)), "left")
     kept = let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops")), lambda i: lines[i]), "\n"))
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: lines[i]), "\n"))
     return (
         joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
-        .withColumn("text", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("n_dropped", F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long"))
-        .drop("of_", "in_", "drops", "body_")
+        .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+        .withColumn("n_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+        .drop(of, in_, gone, body)
     )
 
 

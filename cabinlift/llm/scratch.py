@@ -18,6 +18,17 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where ``df`` has a column so called already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Written copies cut the lineage; ``free`` gives their space back, which long jobs need."""
 
