@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cabinlift.llm import (
-    ann, bitsliced, decontaminate, divergence, html, licences, line_dedup, mixing, ngram_join, periodic, pii, quality,
-    secrets,
+    ann, bitsliced, decontaminate, divergence, html, licences, line_dedup, mixing, ngram_join, oracles, periodic, pii,
+    quality, secrets,
 )
 
 
@@ -75,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op12_inner_products, op13_periodic_runs)
 }
 ORACLES: dict[str, str] = {
+    "op5_ngram_join": oracles.NGRAM_JOIN,
+    "op8_contamination": oracles.CONTAMINATION,
     "op11_source_divergence": divergence.ORACLE,
     "op12_inner_products": bitsliced.ORACLE,
     "op13_periodic_runs": periodic.ORACLE,

@@ -86,6 +86,30 @@ def test_short_lines_go_when_they_are_equal(spark):
     assert got == {0: (texts[0], 0), 1: ("All rights reserve.\nword\n", 3), 2: ("42", 2), 3: ("42\n}", 3)}
 
 
+def test_line_dedup_with_clashing_names_and_shared_ids(spark):
+    line = "this line is long enough to be taken for a repeated one"
+    rows = [(1, f"{line}\none", "a"), (1, f"{line}\ntwo", "b"), (2, f"x\n{line}", "c"), (None, f"{line}\nnone", "d"), (None, line, "e")]
+    names = ("drops", "of_", "in_", "body_", "DROPS_", "n_lines", "line", "no")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").select(
+        "*", *[F.lit(n).alias(n) for n in names])
+    got = line_dedup.dedup_lines(docs).collect()
+    assert all(r[n] == n for r in got for n in names if n != "n_lines")
+    texts = sorted(r["text"] for r in got)
+    # Of the two texts with the line in the same place one keeps it; rows without an id come last.
+    assert texts in (sorted([f"{line}\none", "two", "x", "none", ""]), sorted(["one", f"{line}\ntwo", "x", "none", ""]))
+
+
+def test_very_long_lines_are_compared(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000)).strip()
+    texts = [long, long[:150_000] + "#" + long[150_001:], long[1:] + "#", long[:1000] + "###" + long[1003:], long[::-1]]
+    got = line_dedup.dedup_lines(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r["n_dropped"] for r in got] == [0, 1, 1, 0, 0]
+    for a, b in ((long, texts[2]), (long, texts[3]), (long[:300], long[:300] + "x")):
+        x, y = line_dedup._trimmed(a, b)
+        assert min(len(x), len(y)) >= 30 and distance(x[:200], y[:200]) <= 3
+
+
 def test_every_line_within_the_edits_shares_a_key():
     rng = random.Random(8)
     import pyarrow as pa

@@ -129,3 +129,34 @@ def test_parts_of_an_article_stay_together():
     assert html.main_text(quote) == f"T\n{long}\n{short}"
     table = f"<article><h1>T</h1><table><tr><td>{long}</td><td>x</td></tr></table><p>{short}</p></article>"
     assert html.main_text(table) == f"T\n{long}\nx\n{short}"
+
+
+LONG = "A long sentence, with words. " * 8
+ARTICLE = (f"<h1>Title</h1><p>{LONG}</p><p title='a hidden gem'>Found, at last. Yes.</p>"
+           "<p class='related-work'>Others, too, wrote. Much.</p>")
+WANT = f"Title\n{LONG.strip()}\nFound, at last. Yes.\nOthers, too, wrote. Much."
+
+
+def test_layout_names_are_no_furniture():
+    page = "<html><body><nav>Home</nav>%s<div class='site-footer'>Imprint, terms.</div><footer>bye.</footer></body></html>"
+    for around in ("<div id='content' class='no-sidebar'>%s</div>", "<div class='post comments-open'>%s</div>",
+                   "<div class='has-sidebar with-comments single-post'>%s</div>", "<div class='widget'>%s</div>",
+                   "<div class=main>%s</div><div class='comment-list'><p>" + "I think, well, no. " * 99 + "</p></div>",
+                   "<div>%s<div class='ad-slot'>Buy, now.</div></div>", "<div>%s<p hidden>No.</p><p style='display : none'>No.</p></div>",
+                   "<div>%s<p aria-hidden=\"true\">No.</p><div id='cookieBanner'>We use cookies.</div></div>"):
+        assert html.main_text(page % (around % ARTICLE)) == WANT, around
+    assert html.main_text("<p aria-hidden=false data-hidden='1' class='x'>Seen.</p>") == "Seen."
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    began = time.monotonic()
+    assert html.main_text("<div>w " * n).count("w") == n
+    assert html.main_text("<div>w " * n + "</p></b></i>" * n).count("w") == n
+    assert html.main_text("<b>" * n + "<p>w" * n).count("w") == n
+    assert html.main_text("<ul><li>w" * n).count("w") == n
+    html.main_text("<p class='x>w" * n)
+    html.main_text('<p class="x>w' * n + "'")
+    assert time.monotonic() - began < 60

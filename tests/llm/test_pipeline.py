@@ -1,6 +1,7 @@
 """The pipeline against its stages worked out one by one."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from cabinlift.llm import decontaminate, line_dedup, ngram_join, quality
 from cabinlift.llm.queries import QUERIES
 from tests.conftest import SMALL
@@ -55,4 +56,31 @@ def test_contaminated_rows_go_whatever_their_id(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
+
+
+CLASHES = ("n_lines", "n_dropped", "row_", "row", "doc", "body_", "drops", "of_", "in_", "first", "component_id", "digest", "n", "line")
+
+
+def test_columns_with_clashing_names_come_through(spark):
+    line = "this line is long enough to be taken for a repeated one"
+    docs = documents(spark, [f"{line}\nown words of one {i} here\n{'filler ' * 30}" for i in range(4)] + [None, ""]).drop("digest", "line", "n")
+    docs = docs.select("*", *[F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        for row in out.collect():
+            assert [row[c] for c in CLASHES] == [f"{c}{row['doc_id']}" for c in CLASHES], name
+
+
+def test_rows_without_an_id_lose_their_repeated_lines(spark):
+    line = "this line is long enough to be taken for a repeated one"
+    docs = documents(spark, [f"{line}\na", f"{line}\nb", f"{line}\nc", line], [None, 3, None, None])
+    got = sorted(r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SMALL).collect())
+    assert got == ["a", "c", f"{line}\nb"]
+
+
+def test_nothing_in_nothing_out(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0 if name == "documents" else 10**9).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
