@@ -1,8 +1,10 @@
 """A training-data pipeline over `documents`, in stages that are each written and read again.
 
-Every stage but the last returns the columns of its input. Rejects are found
-and removed by row, that is by id and text together, so rows without an id and
-several texts under one id are decided one by one.
+Every stage but the last returns the columns of its input, whatever other
+columns there are and however they are called. Rejects are found and removed by
+row, that is by id and text together, so rows without an id and several texts
+under one id are decided one by one. Null and empty texts pass every stage that
+does not name them below; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from cabinlift.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from cabinlift.llm.scratch import few
 from cabinlift.sources.shared import written
+
 #: Words per shingle and least similarity in per cent of this stage; op5's contract of 4 and 85 binds its query only.
 STAGE_WORDS, STAGE_PERCENT = 5, 80
 
@@ -22,58 +25,75 @@ def _by_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """row, a hash of id and text, and doc, the whole row; no column of ``docs`` can clash with them."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose hashes are listed as ``row_``."""
+    """``docs`` but for the rows whose hashes are listed as ``row``."""
     rows = few(written(rows.distinct(), "rejected"))
-    return docs.withColumn("row_", F.xxhash64("doc_id", "text")).join(rows, "row_", "left_anti").select(docs.columns)
+    return _keyed(docs).join(rows, "row", "left_anti").select("doc.*")
 
 
 def _once(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of those that share id and text."""
-    keyed = docs.withColumn("row_", F.xxhash64("doc_id", "text"))
-    again = written(keyed.groupBy("row_").count().filter("count > 1").select("row_"), "repeated")
+    keyed = _keyed(docs)
+    again = written(keyed.groupBy("row").count().filter("count > 1").select("row"), "repeated")
     if again.isEmpty():
         return docs
     again = few(again)
-    one = keyed.join(again, "row_", "left_semi").dropDuplicates(["row_"])
-    return keyed.join(again, "row_", "left_anti").unionByName(one).select(docs.columns)
+    one = keyed.join(again, "row", "left_semi").groupBy("row").agg(F.first("doc").alias("doc"))
+    return keyed.join(again, "row", "left_anti").unionByName(one).select("doc.*")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are scored like any other; equal texts share their score."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-repeated lines go; a document that had nothing else goes with them."""
-    found = line_dedup.dedup_lines(docs)
+    """Near-repeated lines go; a document that had nothing else goes with them.
+
+    Of equal lines the one of the smallest id and line number stays, rows without
+    an id coming last. Null texts and texts without repeated lines stay as they
+    are; ``n_chars``, where there is one, follows the text.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", whole))
+    left = found.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    doc = F.col("doc").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
         count = F.length("text").cast(docs.schema["n_chars"].dataType)
-        found = found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, count).otherwise(F.col("n_chars")))
-    return found.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+        doc = doc.withField("n_chars", F.when(F.col("n_dropped") > 0, count).otherwise(F.col("doc.n_chars")))
+    return left.select(doc.alias("doc")).select("doc.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row stays, of the smallest id; rows without an id come last."""
+    """Of each group of near copies one row stays, of the smallest id; rows without an id come last.
+
+    Texts without words are copies of nothing; of rows that repeat both id and
+    text one stays, also without words.
+    """
     found = written(
         ngram_join.jaccard_components(_by_row(docs), STAGE_WORDS, STAGE_PERCENT)
-        .select(F.col("doc_id").alias("row_"), "component_id").distinct(), "groups")
+        .select(F.col("doc_id").alias("row"), "component_id").distinct(), "groups")
     groups = found.groupBy("component_id").count().filter("count > 1").select("component_id")
-    ids = docs.select(F.xxhash64("doc_id", "text").alias("row_"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id"))
-    members = written(found.join(groups, "component_id", "left_semi").join(ids.distinct(), "row_"), "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct("id", "row_")).alias("first"))
-    rejected = members.join(first, "component_id").filter(F.col("row_") != F.col("first.row_"))
-    return _once(_without(docs, rejected.select("row_")))
+    ids = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("id"))
+    members = written(found.join(groups, "component_id", "left_semi").join(ids.distinct(), "row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first"))
+    rejected = members.join(first, "component_id").filter(F.col("row") != F.col("first.row"))
+    return _once(_without(docs, rejected.select("row")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go; texts without words hold none."""
     found = decontaminate.contamination_report(_by_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("row_")))
+    return _without(docs, found.filter("contaminated").select(F.col("doc_id").alias("row")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; texts without words have none to take."""
     return mixing.mix(docs)
 
 
