@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cabinlift import schema as S
 from cabinlift.functions import asof, numbers, times
-from cabinlift.operators import hot, hygiene
+from cabinlift.operators import hot, prefilter, hygiene
 
 # Offer states kept and cabin names, before and after the join.
 KEPT_STATUS = ["TICKETED", "EXPIRED"]
@@ -84,6 +84,7 @@ def join_flights(
     null_safe: bool = False,
     heavy_rows: int = hot.HEAVY_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    drop_hopeless: bool = False,
 ) -> DataFrame:
     """Many-to-many inner join of offers and flights.
 
@@ -96,7 +97,15 @@ def join_flights(
     the heavy offers are dealt over as many salts as their group needs and the
     flight rows are repeated for each salt. Exact copies of an offer share a
     salt; adaptive skew-join splitting, which cuts by map output, covers those.
+
+    With ``drop_hopeless`` offers without a flight mostly go before the shuffle,
+    by a bitmap of the flights' keys; it pays where many have none.
     """
+    if drop_hopeless:
+        # As text, so that equal keys of different types have equal bits.
+        keys = lambda names: [F.col(name).cast("string") for name in names]
+        offers = prefilter.hopeful(
+            offers, prefilter.key_bitmap(flights, keys(FLIGHT_JOIN.values())), keys(FLIGHT_JOIN.keys()))
     same_name = [left for left, right in FLIGHT_JOIN.items() if left == right]
     clashes = (set(offers.columns) & set(flights.columns)) - set(same_name)
     left = offers.withColumnsRenamed({name: f"{name}_x" for name in clashes})
@@ -205,13 +214,14 @@ def enriched_offers(
     strict: bool = True,
     null_safe: bool = False,
     heavy_rows: int = hot.HEAVY_ROWS,
+    drop_hopeless: bool = False,
 ) -> DataFrame:
     """The whole enrichment: one lazy plan from the two raw tables."""
     first_flights = dedup_flights(typed_flights(flights))
     if "ingest_seq" in first_flights.columns:
         first_flights = first_flights.drop("ingest_seq")
     wanted = plain_cabins(typed_offers(offers, strict)).filter(F.col("instant_upgrade") == 0)
-    joined = join_flights(wanted, first_flights, null_safe, heavy_rows)
+    joined = join_flights(wanted, first_flights, null_safe, heavy_rows, drop_hopeless=drop_hopeless)
     return (
         short_cabins(joined)
         .transform(decision_time)

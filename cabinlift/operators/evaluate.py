@@ -101,7 +101,8 @@ def running_counts(
     edges = context.join(hot.blocks_before(summary, by, ["tp_before", "fp_before"]), keys)
     ordered = Window.partitionBy(*keys).orderBy(F.desc("score"))
     so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(hot.sized(edges), keys).select(
+    # Without groups there is a row per block, and blocks are no more than partitions.
+    return cut.join(hot.sized(edges) if by else F.broadcast(edges), keys).select(
         *by, "score", "hits", "misses", "positives", "negatives",
         (F.col("tp_before") + F.sum("hits").over(so_far)).alias("tp"),
         (F.col("fp_before") + F.sum("misses").over(so_far)).alias("fp"),
@@ -233,7 +234,7 @@ def score_histogram(
         .otherwise(F.col("guess"))
     )
     counts = (
-        scored.join(hot.sized(spans), keys)
+        scored.join(hot.sized(spans) if by else F.broadcast(spans), keys)  # without groups, a row per label
         .withColumn("guess", guess)
         .groupBy(*keys, settled.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n_rows"))

@@ -40,9 +40,12 @@ def heavy_groups(
 ) -> DataFrame | None:
     """The groups above ``heavy_rows`` with their sizes, or None if there are none.
 
-    Counting combines on the map side, in one pass; the list is written to the
-    shared folder and may have any length.
+    A table of no more rows has no such group, which a count of rows tells.
+    Otherwise groups are counted, combined on the map side; the list is written
+    to the shared folder and may have any length.
     """
+    if df.count() <= heavy_rows:
+        return None
     sizes = written(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias(GROUP_ROWS)).filter(F.col(GROUP_ROWS) > heavy_rows), "heavy")
     return None if sizes.isEmpty() else sizes

@@ -14,9 +14,12 @@ from cabinlift.session import build_session
 from cabinlift.sources import tables
 
 
-def run(spark: SparkSession, flights: str, offers: str, output: str, strict: bool = True) -> None:
+def run(
+    spark: SparkSession, flights: str, offers: str, output: str, strict: bool = True, drop_hopeless: bool = False
+) -> None:
     enriched = enrich.enriched_offers(
-        tables.read_flights(spark, flights, strict), tables.read_offers(spark, offers, strict), strict
+        tables.read_flights(spark, flights, strict), tables.read_offers(spark, offers, strict), strict,
+        drop_hopeless=drop_hopeless,
     )
     if output.endswith(".csv"):
         tables.write_csv(enriched, output)
@@ -30,9 +33,11 @@ def main() -> None:
     options.add_argument("--offers", required=True)
     options.add_argument("--output", required=True, help="folder; CSV if it ends in .csv")
     options.add_argument("--lenient", action="store_true", help="bad values become null")
+    options.add_argument("--drop_hopeless", action="store_true",
+                         help="drop offers without a flight before the join; pays where many have none")
     chosen = options.parse_args()
     spark = build_session("enrich-offers")
-    run(spark, chosen.flights, chosen.offers, chosen.output, not chosen.lenient)
+    run(spark, chosen.flights, chosen.offers, chosen.output, not chosen.lenient, chosen.drop_hopeless)
     spark.stop()
 
 

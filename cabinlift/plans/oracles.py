@@ -319,6 +319,13 @@ ORACLES = {
     "cabin_recode": _with("plain", f"""
         SELECT id, {_cabins("from_cabin")}, {_cabins("upgrade_type")} FROM plain"""),
     "offers_enriched": _rows("enriched", ENRICHED_COLUMNS),
+    "offers_with_few_flights": _with("plain", """
+        SELECT o.id, o.flight_number, o.travel_date, f.booking_fare_class, f.origination
+        FROM plain o JOIN flights_dedup f
+          ON o.carrier_code = f.carrier_code AND o.flight_number = f.flight_number
+         AND o.partner_id = f.partner_id AND o.travel_date = f.travel_date_local
+         AND o.upgrade_type = f.cabin_type
+        WHERE f.flight_number::INTEGER % 3 = 0"""),
     "local_event_times": _rows("enriched", ["id", *S.EVENT_LOCAL, *S.per_horizon("update_local_time")]),
     "seats_at_decision": _rows("enriched", ["id", "decision_timestamp", "seats_available"]),
     "exact_dedup": _with("snapshot_input", f"SELECT DISTINCT {_names(S.SNAPSHOT_INPUT)} FROM snapshot_input"),

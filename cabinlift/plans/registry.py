@@ -67,6 +67,16 @@ def offers_enriched(spark, sf_dir):
     ).select(*ENRICHED_COLUMNS)
 
 
+@query
+def offers_with_few_flights(spark, sf_dir):
+    """A third of the flights, so that most offers have none and go before the shuffle."""
+    flights = enrich.dedup_flights(enrich.typed_flights(demo.raw_flights(spark, sf_dir)))
+    some = flights.filter(F.col("flight_number").cast("int") % 3 == 0)
+    offers = enrich.plain_cabins(enrich.typed_offers(demo.raw_offers(spark, sf_dir)))
+    joined = enrich.join_flights(offers, some, drop_hopeless=True)
+    return joined.select("id", "flight_number", "travel_date", "booking_fare_class", "origination")
+
+
 @query
 def local_event_times(spark, sf_dir):
     joined = demo.enriched(spark, sf_dir).drop(*S.EVENT_LOCAL, *S.per_horizon("update_local_time"))
@@ -282,25 +292,30 @@ def confusion_normalised(spark, sf_dir):
     return evaluate.confusion(demo.scored(spark, sf_dir)).drop("n_rows")
 
 
+def _counts(spark, sf_dir):
+    """Counts per score that all curves share, written once."""
+    return demo.once(spark, sf_dir, "running-counts", lambda: evaluate.running_counts(demo.scored(spark, sf_dir)))
+
+
 @query
 def roc_points(spark, sf_dir):
-    return evaluate.roc_points(demo.scored(spark, sf_dir))
+    return evaluate.roc_points_of(_counts(spark, sf_dir))
 
 
 @query
 def roc_auc(spark, sf_dir):
-    return evaluate.roc_auc(demo.scored(spark, sf_dir))
+    return evaluate.roc_auc_of(_counts(spark, sf_dir))
 
 
 @query
 def pr_points(spark, sf_dir):
-    return evaluate.pr_points(demo.scored(spark, sf_dir))
+    return evaluate.pr_points_of(_counts(spark, sf_dir))
 
 
 @query
 def average_precision(spark, sf_dir):
     """Rounded: a sum of doubles depends on the order of its terms in the last digits."""
-    return evaluate.average_precision(demo.scored(spark, sf_dir)).select(
+    return evaluate.average_precision_of(_counts(spark, sf_dir)).select(
         F.round("average_precision", 9).alias("average_precision")
     )
 

@@ -3,13 +3,15 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from cabinlift import schema as S
-from cabinlift.operators import features, hot, hygiene, snapshots
+from cabinlift.operators import enrich, features, hot, hygiene, prefilter, snapshots
 from cabinlift.plans import registry
 from cabinlift.sources import demo
 from tests.conftest import SMALL
+from tests.support import bag
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -72,3 +74,19 @@ def test_narrow_scan(spark):
 def test_date_floor_reaches_the_scan(spark):
     plan = plan_of(hygiene.since(demo.enriched(spark, SMALL), "travel_date", "2000-01-01").select(*S.AUCTION_KEY))
     assert "GreaterThanOrEqual(travel_date" in plan
+
+
+def test_hopeless_offers_go_before_the_shuffle(spark):
+    flights = enrich.dedup_flights(enrich.typed_flights(demo.raw_flights(spark, SMALL))).filter("carrier_code = 'K1'")
+    offers = enrich.plain_cabins(enrich.typed_offers(demo.raw_offers(spark, SMALL)))
+    keys = lambda names: [F.col(name).cast("string") for name in names]
+    bitmap = prefilter.key_bitmap(flights, keys(enrich.FLIGHT_JOIN.values()))
+    kept = prefilter.hopeful(offers, bitmap, keys(enrich.FLIGHT_JOIN))
+    assert kept.columns == offers.columns
+    matched = enrich.join_flights(offers, flights).select("id").distinct().count()
+    assert matched <= kept.count() <= 1.01 * kept.filter("carrier_code = 'K1'").count() < 0.3 * offers.count()
+    plan = plan_of(enrich.join_flights(offers, flights, drop_hopeless=True))
+    assert plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning") < plan.index("getbit")
+    columns = ["id", "flight_number", "booking_fare_class", "travel_date_local"]
+    assert bag(enrich.join_flights(offers, flights, drop_hopeless=True).select(*columns)) == bag(
+        enrich.join_flights(offers, flights).select(*columns))

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from datetime import timedelta
 
+import pyarrow as pa
 import pytest
 
 from cabinlift import schema as S
@@ -15,6 +16,9 @@ EVENTS = [f"event_local_date_{h}h" for h in ("72", "48", "24", "12", "01")]
 SEATS = [f"available_count_{h}h" for h in ("72", "48", "24", "12", "01")]
 
 
+NAMES = ["id", "current_timestamp", "current_seats_col", "snapshot_num", "current_available_seats"]
+
+
 def random_offers(seed: int, auctions: int) -> list[dict]:
     rng, rows, ids = random.Random(seed), [], iter(range(1, 100_000))
     for flight in range(auctions):
@@ -118,3 +122,20 @@ def test_row_order_and_partitioning_do_not_matter(spark, sample):
         for df in (rows, shuffled)
     )
     assert first == second
+
+
+def test_grouped_map_replay_of_the_whole_table(spark, offers):
+    """Every auction of the small data set, replayed one by one in grouped maps."""
+
+    def replayed(part: pa.Table) -> pa.Table:
+        rows = part.to_pylist()
+        seats = {row["id"]: row for row in rows}
+        found = [(id_, at, column, number, seats[id_][column]) for id_, at, column, number in replay(rows)]
+        return pa.Table.from_pylist([dict(zip(NAMES, row)) for row in found], schema=pa.schema(
+            list(zip(NAMES, (pa.int64(), pa.timestamp("us"), pa.string(), pa.int32(), pa.int32())))))
+
+    schema = "id long, current_timestamp timestamp_ntz, current_seats_col string, snapshot_num int, current_available_seats int"
+    want = offers.select(*S.SNAPSHOT_INPUT).groupBy(*S.AUCTION_KEY).applyInArrow(replayed, schema)
+    got = snapshots.auction_snapshots(offers).select(*NAMES)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert got.count() > 5_000
