@@ -17,6 +17,7 @@ four bits at most, discards pairs before they are made.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,36 +68,49 @@ def _shifts(edits: int) -> list[tuple[int, int, int]]:
         for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
+def _pieces(edits: int):
+    """Function of a line's length: begin, end and seed of every substring that the line looks up."""
+    shifts, parts = _shifts(edits), edits + 1
+
+    @lru_cache(4096)
+    def of(n: int) -> list[tuple[int, int, int]]:
+        out = []
+        for less, i, shift in shifts:
+            base, longer = divmod(n - less, parts)  # the last segments are the longer ones
+            start = base * i + max(0, i - (parts - longer)) + shift
+            out.append((start, start + base + (i >= parts - longer), (n - less) * parts + i))
+        return out
+
+    return of
+
+
 def _segments(edits: int, least: int):
     """Arrow function: texts to (key, line, own), a key being segment number, indexed length and substring.
 
     ``own`` marks a line's own segments, which are the index; the rest are
     probes. A line that recurs in a batch is cut up once.
     """
-    shifts, parts = _shifts(edits), edits + 1
+    own = np.array([less == 0 and shift == 0 for less, _, shift in _shifts(edits)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        pieces = _pieces(edits)
         for batch in slices(batches):
-            seen, keys, lines, owns = set(), [], [], []
+            seen, keys, lines = set(), [], []
             for text in batch.column("text").to_pylist():
                 for raw in (text or "").split("\n"):
                     s = raw.strip(BLANKS)
                     if len(s) < least or s in seen:
                         continue
                     seen.add(s)
-                    line, n = signed(xxh64_intdigest(s.encode(), 42)), len(s)
-                    whole = s.encode() if s.isascii() else None
-                    for less, i, shift in shifts:
-                        base, longer = divmod(n - less, parts)  # the last segments are the longer ones
-                        start = base * i + max(0, i - (parts - longer)) + shift
-                        end = start + base + (i >= parts - longer)
-                        piece = s[start:end].encode() if whole is None else whole[start:end]
-                        keys.append(signed(xxh64_intdigest(piece, (n - less) * parts + i)))
-                        lines.append(line)
-                        owns.append(less == 0 and shift == 0)
+                    lines.append(xxh64_intdigest(s.encode(), 42))
+                    if s.isascii():
+                        whole = s.encode()
+                        keys += [xxh64_intdigest(whole[start:end], seed) for start, end, seed in pieces(len(s))]
+                    else:
+                        keys += [xxh64_intdigest(s[start:end].encode(), seed) for start, end, seed in pieces(len(s))]
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(lines, pa.int64()), pa.array(owns, pa.bool_())],
+                [pa.array(signed(keys)), pa.array(np.repeat(signed(lines), len(own))), pa.array(np.tile(own, len(lines)))],
                 names=["key", "line", "own"])
 
     return run
@@ -244,23 +258,25 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS)
     return found
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS, every_row: bool = False) -> DataFrame:
     """``docs`` with every repeated line dropped but its first, and ``n_lines`` and ``n_dropped``.
 
     Lines are taken without blanks at their ends. From ``least`` code points on
     they repeat each other within ``edits`` edits, shorter ones if they are
     equal; of a class of lines the one of the smallest (doc_id, line number)
-    stays, rows without an id coming last. Blank lines and shorter ones that are
-    a bare ``WORD`` stay. One row in, one row out, all columns pass through;
+    stays. Rows without a doc_id are not touched and claim no line; with
+    ``every_row`` they take part, after all others. Blank lines and shorter ones
+    that are a bare ``WORD`` stay. One row in, one row out, all columns pass through;
     columns already called ``n_lines`` or ``n_dropped`` are replaced. A null text
     stays null with 0 lines, an empty one is one line. Several texts under one id
     are documents of their own. Rows that repeat both id and text are the same
     document, so each keeps its first lines.
     """
     scratch = Scratch()
-    named = few(scratch.write(line_classes(docs, edits, least).withColumnRenamed("node", "line"), "classes"))
+    part = docs if every_row else docs.filter(F.col("doc_id").isNotNull())
+    named = few(scratch.write(line_classes(part, edits, least).withColumnRenamed("node", "line"), "classes"))
     places = (
-        _lines(docs, least, short=True).select("doc_id", "body", "no", "line").join(named, "line", "left")
+        _lines(part, least, short=True).select("doc_id", "body", "no", "line").join(named, "line", "left")
         .select("doc_id", "body", "no", F.coalesce("component", "line").alias("line"))
     )
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "no", "body")
