@@ -13,6 +13,8 @@ work grows with their number.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,12 +34,15 @@ BASE = ("assign", "access", "hex")
 KEY = (
     r"(?<![A-Za-z0-9+/=_-])(?:"
     r"(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/]{32,}+={0,2}+"
-    r"|(?:gh[pousr]|github_pat|glpat|xox[abeoprs]|[sr]k_(?:live|test)|pk_live|npm|pypi|hf|dop_v1|shpat|SG)[_.-][A-Za-z0-9_.-]{16,}+"
+    r"|(?:gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_(?:live|test)_|pk_live_|npm_|pypi-|hf_|dop_v1_|shpat_|SG\.)[A-Za-z0-9_.-]{16,}+"
     r"|AIza[A-Za-z0-9_-]{30,}+"
     r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{16,}+"
     r")(?![A-Za-z0-9+/=_-])")
-#: What every key has: a long run of its characters, or a mark.
-KEY_HINT = r"[A-Za-z0-9+/]{32}|(?:gh[pousr]|github_pat|glpat|xox[abeoprs]|[sr]k_(?:live|test)|pk_live|npm|pypi|hf|dop_v1|shpat|SG)[_.-]|AIza|eyJ"
+#: What every key has: a long run of its characters, looked for from the run's start, or a mark.
+LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
+MARKS = ("glpat-", "xox", "pypi-", "SG.", "AIza", "eyJ")
+#: Marks with an underscore, which most texts do not have at all.
+UNDERSCORED = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "k_live_", "k_test_", "npm_", "hf_", "dop_v1_", "shpat_")
 LOGIN = r"(?i)\b(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
 #: A password inside an address: it stands between the name and the host.
 INLINE = r"(?<=://[A-Za-z0-9._~-]{1,64}:)[^\x00-\x20:/@\"'<>]{4,}(?=@[A-Za-z0-9.-])"
@@ -110,6 +115,12 @@ def _near(spans: Column, other: Callable[[Column], Column], of: Callable[[Column
     return let(order, decide)
 
 
+def _any_mark(text: Column) -> Column:
+    """Whether the mark of a service occurs."""
+    either = lambda marks: reduce(or_, [text.contains(mark) for mark in marks])
+    return either(MARKS) | text.contains("_") & either(UNDERSCORED)
+
+
 def _linked(parts: Column, scope: int) -> Column:
     """The weak parts that have a complementary part in scope."""
     named = lambda x: x["kind"].isin(*IDENTIFIERS, "endpoint")
@@ -144,7 +155,7 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
                       _found(body, HEX, "hex", F.lit(True)))
     docs = docs.withColumn("strong", strong)
     hints = F.concat(
-        _found(body, KEY, "key", body.rlike(KEY_HINT)), _found(body, LOGIN, "login", _sets(body)),
+        _found(body, KEY, "key", body.rlike(LONG_RUN) | _any_mark(body)), _found(body, LOGIN, "login", _sets(body)),
         _found(body, ENDPOINT, "endpoint", body.contains("://")),
         _found(body, INLINE, "inline", body.contains("://") & body.contains("@")))
     docs = docs.withColumn("weak", hints)
