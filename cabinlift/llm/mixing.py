@@ -86,6 +86,13 @@ def _snap(p: Column) -> Column:
     return F.when(p < NEAR, 0.0).when(p > 1 - NEAR, 1.0).otherwise(p)
 
 
+def _copies(x: Column) -> tuple[Column, Column]:
+    """Whole part and fraction of a number of copies, both of one number: almost a whole one is that."""
+    near = F.round(x)
+    x = F.when(F.abs(x - near) < NEAR, near).otherwise(x)
+    return F.floor(x), x - F.floor(x)
+
+
 def _settled(p: Column) -> Column:
     return (p == 0.0) | (p == 1.0)
 
@@ -154,7 +161,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
         .select("source", "doc_id", "size", "n_docs", "n",
                 F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("x"))
         .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        .withColumn("p", _snap(F.col("x") - F.floor("x")))
+        .withColumn("p", _copies(F.col("x"))[1])
         .withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
         .select("source", F.col("n_docs").alias("width"), "doc_id", "nth", "size", "p")
     )
@@ -170,7 +177,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     every = settled[0]
     for part in settled[1:]:
         every = every.unionByName(part)
-    whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) + NEAR)
+    whole = _copies(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))[0]
     return (
         every.join(by_source, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("copies", (whole + F.col("p")).cast("long"))
