@@ -151,11 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the labelled rows of all folds but the held-out one.
 
     ``docs`` needs doc_id and text, ``labels`` doc_id and quality; other columns
-    are not read. Labels that are null or neither 0 nor 1 are left out. Without
-    any label every score is 0.5. All labelled rows count; only sums of fixed
+    are not read. Labels that are null or neither 0 nor 1 are left out, and so
+    are documents whose labels contradict each other; a label that is repeated
+    counts once. Without any label every score is 0.5. All labelled rows count; only sums of fixed
     size reach the driver.
     """
     known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("y"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
     known = known.withColumn("fold", _fold(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT)
     stats = docs.select("doc_id", "text").filter(_fold(F.col("doc_id")) != HELD_OUT).mapInArrow(
         _described, "doc_id long, x array<double>")
