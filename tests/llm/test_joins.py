@@ -92,7 +92,7 @@ def test_line_dedup_with_clashing_names_and_shared_ids(spark):
     names = ("drops", "of_", "in_", "body_", "DROPS_", "n_lines", "line", "no")
     docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").select(
         "*", *[F.lit(n).alias(n) for n in names])
-    got = line_dedup.dedup_lines(docs).collect()
+    got = line_dedup.dedup_lines(docs, every_row=True).collect()
     assert all(r[n] == n for r in got for n in names if n != "n_lines")
     texts = sorted(r["text"] for r in got)
     # Of the two texts with the line in the same place one keeps it; rows without an id come last.

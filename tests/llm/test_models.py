@@ -56,6 +56,23 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_copies_never_count_twice(spark):
+    xs = [2.9999999995, 3.0, 3.0000000004, 2.99, 0.0, 0.5, 1e-10]
+    whole, rest = mixing._copies(F.col("x"))
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(whole.alias("w"), rest.alias("r")).collect()
+    assert [(r["w"], round(r["r"], 9)) for r in got] == [(3, 0), (3, 0), (3, 0), (2, 0.99), (0, 0), (0, 0.5), (0, 0)]
+
+
+def test_repeated_labels_count_once(spark):
+    docs = documents(spark, [f"word{i} " * (3 + i % 40) + ("!!! " * 9 if i % 2 else "and so on, it goes.") for i in range(300)])
+    rows = [(i, i % 2) for i in range(300)]
+    labels = lambda more: spark.createDataFrame(rows + more, "doc_id long, quality int")
+    scores = lambda found: {r["doc_id"]: round(r["score"], 6) for r in quality.quality_report(docs, found).collect()}
+    plain = scores(labels([]))
+    assert scores(labels(rows[:50] * 3)) == plain and len(plain) == 300
+    assert scores(labels([(i, 1 - y) for i, y in rows])) == dict.fromkeys(range(300), 0.5)  # all contradict
+
+
 def test_quality_on_the_held_out_fold(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
