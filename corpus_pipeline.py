@@ -60,7 +60,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are; ``n_chars``, where there is one, follows the text.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    found = line_dedup.dedup_lines(docs.select("doc_id", "text", whole))
+    found = line_dedup.dedup_lines(docs.select("doc_id", "text", whole), every_row=True)
     left = found.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     doc = F.col("doc").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
