@@ -14,6 +14,8 @@ from cabinlift.sources.shared import written
 MONTH = "travel_month_start"
 FLIGHT_ORDER = ["carrier_code", "flight_number"]
 LAST_PLACE = (1 << 63) - 1
+# Splits of an input up to which their table is broadcast.
+FEW_SPLITS = 100_000
 # Columns that an input may lack.
 OPTIONAL = frozenset((*S.EVENT_LOCAL, *S.COUNTS))
 
@@ -82,8 +84,9 @@ def read_numbered(spark: SparkSession, path: str, out: str = "row_no", multiline
     splits = placed.select(*place).groupBy("_file", "_block").agg(F.count("*").alias("_rows"), F.min("_row").alias("_first"))
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    splits = written(splits, "splits")
     numbered = placed.withColumns({f"_{c}": F.col(f"_place.{c}") for c in _PLACE}).join(
-        F.broadcast(written(splits, "splits")), ["_file", "_block"])
+        F.broadcast(splits) if splits.count() <= FEW_SPLITS else splits, ["_file", "_block"])
     return numbered.select(*kept, (F.col("_before") + F.col("_row") - F.col("_first")).alias(out))
 
 
