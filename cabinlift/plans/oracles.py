@@ -289,6 +289,17 @@ def _rows(cte: str, columns=None) -> str:
     return _with(cte, f"SELECT {_names(columns) if columns else '*'} FROM {cte}")
 
 
+def _input(name: str) -> str:
+    """A model input: text for categories, days for the date, a low number for what is missing."""
+    plain = "f_" + name.replace("%", "pct")
+    if name in S.CATEGORICAL_FEATURES:
+        return f'"{name}"::VARCHAR AS {plain}'
+    if name == "travel_date":
+        return f"(travel_date::DATE - DATE '1970-01-01')::DOUBLE AS {plain}"
+    missing = "1.0" if name in S.MULTIPLIERS else "-1000000000000.0"
+    return f'coalesce("{name}"::DOUBLE, {missing}::DOUBLE) AS {plain}'
+
+
 def _cabins(column: str) -> str:
     return (f"CASE {column} WHEN 'PREMIUM_ECONOMY' THEN 'P-ECON' WHEN 'ECONOMY' THEN 'ECON' "
             f"WHEN 'BUSINESS' THEN 'BUS' ELSE {column} END AS {column}")
@@ -367,6 +378,19 @@ ORACLES = {
                concat_ws(' ', CASE WHEN id % 23 = 0 THEN 'partner_id' END, CASE WHEN id % 13 = 0 THEN 'item_count' END,
                          CASE WHEN id % 19 = 0 THEN 'base_amount' END, CASE WHEN id % 17 = 0 THEN 'created' END) AS made_null
         FROM offers WHERE id % 13 = 0 OR id % 17 = 0 OR id % 19 = 0 OR id % 23 = 0"""),
+    "flights_from_csv": _rows("flights", S.FLIGHTS.fieldNames()),
+    "offers_from_csv": _rows("offers", S.OFFERS.fieldNames()),
+    "enrich_job": _rows("enriched", S.SNAPSHOT_INPUT),
+    "training_input": _with("uniq", f"""
+        SELECT {_names(S.TRAINING_INPUT)}, offer_status FROM uniq"""),
+    "absent_availability": _with("enriched", f"""
+        SELECT {_names(name for name in S.SNAPSHOT_INPUT if not name.endswith("_48h"))},
+               NULL::TIMESTAMP AS event_local_date_48h, NULL::INTEGER AS available_count_48h FROM enriched"""),
+    "dotted_and_cast": _rows("offers", ["id", "item_count", "fare_class"]),
+    "snapshots_job": _rows("snapshots"),
+    "snapshots_csv_job": _rows("snapshots"),
+    "snapshot_months": _with("snapshots", """
+        SELECT date_trunc('month', travel_date)::DATE AS travel_month_start, count(*) AS n_rows FROM snapshots GROUP BY 1"""),
     "numbered_rows": """
         SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_no FROM supplier""",
     "group_stats": _rows("stats", ["id", *S.AUCTION_KEY, "num_offers", "usd_base_amount_max"]),
@@ -377,6 +401,8 @@ ORACLES = {
     "loo_quantiles": _rows("loo", ["id", *S.AUCTION_KEY, *QUANTILE_COLUMNS]),
     "model_features": _with("binned", f"""
         SELECT id, {_names(S.MODEL_FEATURES)} FROM binned JOIN loo USING ({KEY}, id)"""),
+    "model_inputs": _with("binned", f"""
+        SELECT id, {", ".join(_input(name) for name in S.MODEL_FEATURES)} FROM binned JOIN loo USING ({KEY}, id)"""),
     "multiplier_defaults": _with("uniq", f"""
         SELECT id, {", ".join(f"coalesce({name}, 1.0::DOUBLE) AS {name}" for name in S.MULTIPLIERS)}
         FROM uniq"""),

@@ -23,7 +23,8 @@ from cabinlift.operators import (
     timeline,
 )
 from cabinlift.plans.oracles import ALIVE_COLUMNS, ENRICHED_COLUMNS, QUANTILE_COLUMNS
-from cabinlift.plans import update_snapshots
+from cabinlift.operators.stages import ModelInputs, plain
+from cabinlift.plans import build_snapshots, enrich_offers, update_snapshots
 from cabinlift.sources import demo, runs, shared, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,10 +210,90 @@ def coerced_rows(spark, sf_dir):
     return rows.select(F.col("id").cast("bigint").alias("id"), "item_count", F.array_join("made_null", " ").alias("made_null"))
 
 
+def _csv(spark, name: str) -> str:
+    return shared.shared_path(spark, name) + ".csv"
+
+
+@query
+def flights_from_csv(spark, sf_dir):
+    path = _csv(spark, "flights")
+    tables.write_csv(demo.raw_flights(spark, sf_dir).drop("ingest_seq"), path)
+    return tables.read_flights(spark, path).drop("ingest_seq")
+
+
+@query
+def offers_from_csv(spark, sf_dir):
+    path = _csv(spark, "offers")
+    tables.write_csv(demo.raw_offers(spark, sf_dir), path)
+    return tables.read_offers(spark, path)
+
+
+@query
+def enrich_job(spark, sf_dir):
+    """From CSV to CSV; columns that nobody declared are skipped, dotted ones too."""
+    flights, offers, out = (_csv(spark, name) for name in ("flights", "offers", "enriched"))
+    tables.write_csv(demo.raw_flights(spark, sf_dir), flights)
+    tables.write_csv(demo.raw_offers(spark, sf_dir).withColumns({"odd.name": F.lit(1), "more": F.lit("x")}), offers)
+    enrich_offers.run(spark, flights, offers, out)
+    return tables.read_snapshot_input(spark, out)
+
+
+@query
+def training_input(spark, sf_dir):
+    path = shared.shared_path(spark, "training")
+    offers = demo.unique_offers(spark, sf_dir).select(
+        *[F.col(c).cast("string").alias(c) for c in [*S.TRAINING_INPUT, "offer_status"]], F.lit(1).alias("odd.name"))
+    tables.write_parquet(offers, path)
+    return tables.read_training_input(spark, path)
+
+
+@query
+def absent_availability(spark, sf_dir):
+    """Offers without the readings of one horizon: its columns are there, and null."""
+    path = shared.shared_path(spark, "enriched")
+    tables.write_parquet(_snapshot_input(spark, sf_dir).drop("event_local_date_48h", "available_count_48h"), path)
+    return tables.read_snapshot_input(spark, path)
+
+
+@query
+def dotted_and_cast(spark, sf_dir):
+    """Dotted columns go; of the columns to cast those that are there are cast."""
+    text = demo.raw_offers(spark, sf_dir).select(
+        F.col("id").cast("string").alias("id"), F.col("item_count").cast("string").alias("item_count"),
+        F.col("conf_num").alias("conf.num"), "fare_class")
+    return tables.cast_present(tables.drop_dotted(text), {"id": "bigint", "item_count": "int", "usd_base_amount": "double"})
+
+
+def _snapshots_by_job(spark, sf_dir, output: str) -> str:
+    source = shared.shared_path(spark, "enriched")
+    tables.write_by_month(demo.enriched(spark, sf_dir), source)
+    build_snapshots.run(spark, source, output, demo.SNAPSHOT_FROM)
+    return output
+
+
+@query
+def snapshots_job(spark, sf_dir):
+    """The job from a table by month to a table by month."""
+    output = _snapshots_by_job(spark, sf_dir, shared.shared_path(spark, "snapshots"))
+    return spark.read.parquet(output).select(*S.SNAPSHOT_OUTPUT)
+
+
+@query
+def snapshot_months(spark, sf_dir):
+    """Rows in each month's folder."""
+    output = _snapshots_by_job(spark, sf_dir, shared.shared_path(spark, "snapshots"))
+    return spark.read.parquet(output).groupBy(tables.MONTH).agg(F.count("*").alias("n_rows"))
+
+
+@query
+def snapshots_csv_job(spark, sf_dir):
+    return tables.read_table(spark, _snapshots_by_job(spark, sf_dir, _csv(spark, "snapshots")), S.SNAPSHOTS)
+
+
 @query
 def numbered_rows(spark, sf_dir):
     """Suppliers as CSV lines in the order of their keys, numbered as they lie in the files."""
-    path = shared.shared_path(spark, "suppliers.csv").replace("suppliers.csv-", "suppliers-") + ".csv"
+    path = _csv(spark, "suppliers")
     suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name")
     tables.write_csv(suppliers.repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey"), path)
     return tables.read_numbered(spark, path).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", "row_no")
@@ -262,6 +343,14 @@ def model_features(spark, sf_dir):
     return features.model_features(demo.unique_offers(spark, sf_dir), keep=["id"])
 
 
+@query
+def model_inputs(spark, sf_dir):
+    """What the trees see before categories become numbers."""
+    defaults = features.multiplier_defaults(demo.unique_offers(spark, sf_dir))
+    built = ModelInputs().transform(features.model_features(defaults, keep=["id"]))
+    return built.select("id", *map(plain, S.MODEL_FEATURES))
+
+
 @query
 def multiplier_defaults(spark, sf_dir):
     return features.multiplier_defaults(demo.unique_offers(spark, sf_dir)).select("id", *S.MULTIPLIERS)
