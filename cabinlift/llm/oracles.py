@@ -19,8 +19,8 @@ shared AS (
   SELECT a.row AS a, b.row AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
   FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.row < b.row GROUP BY a.row, b.row),
 links AS (SELECT a, b FROM shared WHERE 100 * c >= 85 * (na + nb - c)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT row AS a, row AS b FROM d UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+mirrored AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT row AS a, row AS b FROM d UNION SELECT reach.a, mirrored.b FROM reach JOIN mirrored ON reach.b = mirrored.a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
 FROM reach JOIN sets s ON s.row = a JOIN sets o ON o.row = b GROUP BY s.row, s.doc_id, s.s
 """
