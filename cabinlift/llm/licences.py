@@ -294,13 +294,13 @@ def rules() -> list[dict]:
 
 
 def _hint() -> str:
-    """An expression that every text with a rule's or a fixed phrase's words matches: the shortest words they need."""
+    """An expression that every text with a rule's or a fixed phrase's words matches: the words they need, from a word's start."""
     common = ["licen[sc]", "copyright", "spdx", "creative commons", "creativecommons", "public domain", "cc by", "general public",
               "(?:released|distributed|available|provided|published|covered) (?:to you )?under ",
-              "subject to the terms of "]
-    some = re.compile("|".join(common))
-    own = sorted({keyword for _, keyword, *_ in SIGNATURES if not some.search(keyword)})
-    return "(?i)" + "|".join(common + own)
+              "subject to the terms of ", "(?:non)?commercial use only"]
+    some = re.compile("(?<= )(?:" + "|".join(common) + ")")
+    own = sorted({keyword for _, keyword, *_ in SIGNATURES if not some.search(f" {keyword}")})
+    return "(?i)(?<= )(?:" + "|".join(common + own) + ")"
 
 
 #: Words without which no rule and no fixed phrase can match.
