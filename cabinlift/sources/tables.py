@@ -16,6 +16,8 @@ FLIGHT_ORDER = ["carrier_code", "flight_number"]
 LAST_PLACE = (1 << 63) - 1
 # Splits of an input up to which their table is broadcast.
 FEW_SPLITS = 100_000
+# Most rows of a packed CSV file.
+PACKED_ROWS = 500_000
 # Columns that an input may lack.
 OPTIONAL = frozenset((*S.EVENT_LOCAL, *S.COUNTS))
 
@@ -232,5 +234,9 @@ def write_by_month(df: DataFrame, path: str, date: str = "travel_date", only_the
     write_parquet(ordered, path, [MONTH], only_these_months)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """CSV files in a folder; packed ones hold at most ``PACKED_ROWS`` rows, as a reader cannot split them."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    if compression:
+        writer = writer.option("compression", compression).option("maxRecordsPerFile", PACKED_ROWS)
+    writer.csv(path)
