@@ -51,13 +51,14 @@ class Report:
 
 def run(
     spark: SparkSession, source: str, output: str, min_travel_date: str | None,
-    collapse_exact_duplicates: bool = True, strict: bool = False, **flags,
+    collapse_exact_duplicates: bool = True, strict: bool = False, compression: str | None = None, **flags,
 ) -> Report:
     """Write the snapshots, and beside them what was left out.
 
     Auctions with several schedules go to ``OUT_rejects`` (key and number of
     schedules). Values that do not parse are counted while the offers are read;
-    if there are any, the rows that hold them go to ``OUT_coerced``.
+    if there are any, the rows that hold them go to ``OUT_coerced``. ``compression``
+    packs CSV outputs.
     """
     with scratch(spark):
         raw = tables.raw_snapshot_input(spark, source, min_travel_date)
@@ -76,10 +77,10 @@ def run(
             left_out["coerced"] = tables.coerced_rows(raw, S.ENRICHED_SNAPSHOT)
         result = snapshots.auction_snapshots(unique, **flags)
         if output.endswith(".csv"):
-            tables.write_csv(result, output)
+            tables.write_csv(result, output, compression)
             for name, table in left_out.items():
                 flat = table.withColumn("made_null", F.array_join("made_null", " ")) if name == "coerced" else table
-                tables.write_csv(flat, f"{output.removesuffix('.csv')}_{name}.csv")
+                tables.write_csv(flat, f"{output.removesuffix('.csv')}_{name}.csv", compression)
         else:
             tables.write_by_month(result, output)
             for name, table in left_out.items():
@@ -98,12 +99,13 @@ def main() -> None:
     options.add_argument("--strict", action="store_true", help="fail on values that do not parse instead of making them null")
     options.add_argument("--strict_schedule", action="store_true",
                          help="fail on an auction with several schedules instead of leaving it out")
+    options.add_argument("--compression", help="codec of a CSV output, such as gzip")
     chosen = options.parse_args()
     spark = build_session("auction-snapshots")
     report = run(
         spark, chosen.input, chosen.output, chosen.min_travel_date,
         collapse_exact_duplicates=not chosen.keep_duplicates_apart,
-        strict=chosen.strict,
+        strict=chosen.strict, compression=chosen.compression,
         after_last_reading=chosen.after_last_reading, strict_schedule=chosen.strict_schedule,
     )
     print(f"auctions left out for several schedules: {report.rejected_auctions}")

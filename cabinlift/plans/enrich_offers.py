@@ -15,14 +15,16 @@ from cabinlift.sources import tables
 
 
 def run(
-    spark: SparkSession, flights: str, offers: str, output: str, strict: bool = True, drop_hopeless: bool = False
+    spark: SparkSession, flights: str, offers: str, output: str, strict: bool = True, drop_hopeless: bool = False,
+    compression: str | None = None,
 ) -> None:
+    """Write the enriched offers; ``compression`` packs a CSV output."""
     enriched = enrich.enriched_offers(
         tables.read_flights(spark, flights, strict), tables.read_offers(spark, offers, strict), strict,
         drop_hopeless=drop_hopeless,
     )
     if output.endswith(".csv"):
-        tables.write_csv(enriched, output)
+        tables.write_csv(enriched, output, compression)
     else:
         tables.write_by_month(enriched, output)
 
@@ -35,9 +37,10 @@ def main() -> None:
     options.add_argument("--lenient", action="store_true", help="bad values become null")
     options.add_argument("--drop_hopeless", action="store_true",
                          help="drop offers without a flight before the join; pays where many have none")
+    options.add_argument("--compression", help="codec of a CSV output, such as gzip")
     chosen = options.parse_args()
     spark = build_session("enrich-offers")
-    run(spark, chosen.flights, chosen.offers, chosen.output, not chosen.lenient, chosen.drop_hopeless)
+    run(spark, chosen.flights, chosen.offers, chosen.output, not chosen.lenient, chosen.drop_hopeless, chosen.compression)
     spark.stop()
 
 
