@@ -66,10 +66,13 @@ def _repeated(n: int):
     """Arrow function: n-grams that several different texts of a task share, with counts."""
 
     def counted(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        keep = counts > 2
+        values = np.concatenate(sets)
+        sets.clear()  # sorted in place, so a task holds the n-grams once
+        values.sort()
+        third = values[2:][values[2:] == values[:-2]]  # the third copy of each and those after it
+        kept, counts = np.unique(third, return_counts=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(values[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names=["gram", "n"])
+            [pa.array(kept.view(np.int64)), pa.array(counts.astype(np.int64) + 2)], names=["gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
