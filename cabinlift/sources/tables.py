@@ -192,7 +192,11 @@ def coerced_rows(df: DataFrame, declared: StructType) -> DataFrame:
     names = F.array_compact(F.array(*[
         F.when(_made_null(df, field), F.lit(field.name)) for field in _may_fail(df, declared)] or [F.lit(None).cast("string")]))
     stored = [F.col(f"`{f.name}`").cast("string").alias(f.name) for f in declared.fields if f.name in df.columns]
-    return df.select(*stored, names.alias("made_null")).filter(F.size("made_null") > 0)
+    marked = df.select(*stored, names.alias("made_null"))
+    # A filter on the names would move below the projection, and into a join there, with every parsed
+    # value written out at each of its uses; a row is given out once or not at all instead.
+    concerned = F.filter(F.array("made_null"), lambda found: F.size(found) > 0)
+    return marked.select(*[f"`{c}`" for c in marked.columns if c != "made_null"], F.explode(concerned).alias("made_null"))
 
 
 def conform(df: DataFrame, declared: StructType, strict: bool = True) -> DataFrame:

@@ -37,3 +37,13 @@ def test_groups_of_a_plan_are_counted_by_hash(spark):
     found = {(r["k"], r["s"], r[hot.GROUP_ROWS]) for r in hot.heavy_groups(df, ["k", "s"], 7, stored=False).collect()}
     assert found == {(0, "x", 8), (1, None, 8)}
     assert hot.heavy_groups(df, ["k", "s"], 8, stored=False) is None
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coerced_values_are_parsed_in_one_projection(spark):
+    plan = plan_of(registry.QUERIES["coerced_rows"](spark, SMALL))
+    parsing = [line for line in plan.splitlines() if "as decimal(38,6)" in line]
+    assert len(parsing) == 1 and parsing[0].strip(" +-").startswith("Project")
