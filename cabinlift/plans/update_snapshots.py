@@ -23,12 +23,21 @@ from cabinlift.sources import tables
 from cabinlift.sources.shared import scratch, written
 
 
-def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The rows that the two tables do not hold equally often; one aggregation by the whole row."""
+def changed_offers(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Id and auction key of the rows that the two tables do not hold equally often.
+
+    One aggregation by id, key and 128 bits of hash of the whole row, so that rows
+    are not shuffled in their width. Equal rows always meet; two different rows of
+    one id and auction would be taken for equal by a chance of 2^-128.
+    """
     columns = [F.col(f"`{c}`") for c in before.columns]
     signed = before.select(*columns, F.lit(-1).alias("_times")).unionByName(
         after.select(*columns, F.lit(1).alias("_times")))
-    return signed.groupBy(*columns).agg(F.sum("_times").alias("_times")).filter(F.col("_times") != 0).drop("_times")
+    # A hash passes over nulls, so where they stand is hashed as well.
+    content = [part for c in columns for part in (c, c.isNull())]
+    hashes = [F.xxhash64(F.lit(seed), *content).alias(f"_hash_{seed}") for seed in (1, 2)]
+    group = signed.select("id", *S.AUCTION_KEY, *hashes, "_times").groupBy("id", *S.AUCTION_KEY, "_hash_1", "_hash_2")
+    return group.agg(F.sum("_times").alias("_times")).filter(F.col("_times") != 0).select("id", *S.AUCTION_KEY)
 
 
 def reached_auctions(after: DataFrame, changed: DataFrame) -> DataFrame:
@@ -62,7 +71,7 @@ def update(
 ) -> list[str]:
     """Update the snapshots in ``output`` from those of ``before`` to those of ``after``; the months written again."""
     floored = [hygiene.since(df, "travel_date", min_travel_date) for df in (before, after)]
-    changed = written(changed_rows(*floored), "changed")
+    changed = written(changed_offers(*floored), "changed")
     if changed.isEmpty():
         return []
     reached = hot.sized(reached_auctions(after, changed))

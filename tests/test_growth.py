@@ -1,14 +1,17 @@
 """What queries store and shuffle grows with what they need, not with the width of the tables."""
 
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cabinlift import schema as S
 from cabinlift.operators import hot
-from cabinlift.plans import registry
+from cabinlift.plans import registry, update_snapshots
 from cabinlift.sources import demo, tables
 from tests.conftest import SMALL
+from tests.support import offer_rows
 
 
 @pytest.mark.parametrize("name", ["date_floor", "repeated_ids", "coerced_rows"])
@@ -47,3 +50,20 @@ def test_coerced_values_are_parsed_in_one_projection(spark):
     plan = plan_of(registry.QUERIES["coerced_rows"](spark, SMALL))
     parsing = [line for line in plan.splitlines() if "as decimal(38,6)" in line]
     assert len(parsing) == 1 and parsing[0].strip(" +-").startswith("Project")
+
+
+def test_changes_are_found_without_shuffling_whole_rows(spark):
+    before = offer_rows(spark, [{"id": 1}])
+    plan = plan_of(update_snapshots.changed_offers(before, before))
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(keys) == 1 and "conf_num" not in keys[0] and "available_count" not in keys[0]
+
+
+def test_changes_are_counted_and_nulls_have_a_place(spark):
+    moved = {"available_count_24h": None, "available_count_48h": 6}
+    before = offer_rows(spark, [{"id": 1}, {"id": 2}, {"id": 2}, {"id": 3, "available_count_48h": None}, {"id": None}, {"id": 5}])
+    after = offer_rows(spark, [{"id": 1}, {"id": 2}, {"id": 3, **moved}, {"id": None}, {"id": 5, "conf_num": None}])
+    changed = update_snapshots.changed_offers(before, after)
+    assert changed.columns == ["id", *S.AUCTION_KEY]
+    assert {row["id"] for row in changed.collect()} == {2, 3, 5}
+    assert update_snapshots.changed_offers(before, before).isEmpty()
