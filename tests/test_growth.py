@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.operators import hot
+from cabinlift.operators import hot, learn
 from cabinlift.plans import registry, update_snapshots
 from cabinlift.sources import demo, tables
 from tests.conftest import SMALL
@@ -67,3 +67,14 @@ def test_changes_are_counted_and_nulls_have_a_place(spark):
     assert changed.columns == ["id", *S.AUCTION_KEY]
     assert {row["id"] for row in changed.collect()} == {2, 3, 5}
     assert update_snapshots.changed_offers(before, before).isEmpty()
+
+
+def test_margins_are_made_once(spark, monkeypatch):
+    made = []
+    rows = [(1, [0.5]), (0, [0.1])]
+    counted = F.udf(lambda x: x, "array<double>").asNondeterministic()
+    table = spark.createDataFrame(rows, "label int, margins array<double>").withColumn("margins", counted("margins"))
+    monkeypatch.setattr(learn, "validation_margins", lambda model, table: table)
+    monkeypatch.setattr(learn.ranks, "auc_per_score", lambda df, scores: made.append(plan_of(df)) or df)
+    learn.auc_curve(None, table)
+    assert "BatchEvalPython" not in made[0]
