@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.operators import hot, learn
+from cabinlift.operators import enrich, hot, hygiene, learn
 from cabinlift.plans import registry, update_snapshots
 from cabinlift.sources import demo, tables
 from tests.conftest import SMALL
-from tests.support import offer_rows
+from tests.support import bag, offer_rows
 
 
 @pytest.mark.parametrize("name", ["date_floor", "repeated_ids", "coerced_rows"])
@@ -78,3 +78,50 @@ def test_margins_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(learn.ranks, "auc_per_score", lambda df, scores: made.append(plan_of(df)) or df)
     learn.auc_curve(None, table)
     assert "BatchEvalPython" not in made[0]
+
+
+def test_offers_are_counted_by_flight_before_their_dates_are_parsed(spark, monkeypatch):
+    flights = enrich.dedup_flights(enrich.typed_flights(demo.raw_flights(spark, SMALL)))
+    offers = enrich.plain_cabins(enrich.typed_offers(demo.raw_offers(spark, SMALL)))
+    asked = []
+    monkeypatch.setattr(enrich.hot, "heavy_groups", lambda *args, **rest: asked.append(args))
+    enrich.join_flights(offers, flights)
+    assert not asked
+    enrich.join_flights(offers, flights, heavy_rows=5)
+    assert len(asked) == 1
+
+
+def test_groups_are_below_what_some_of_their_keys_count(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), F.when(F.col("id") < 50, "x").alias("s"))
+    assert hot.all_below(df, ["k"], 15) and not hot.all_below(df, ["k"], 14)
+    assert hot.all_below(df, ["s"], 50) and not hot.all_below(df, ["s"], 49)
+
+
+def test_amounts_are_worked_out_before_the_join(spark):
+    joined = enrich.enriched_offers(demo.raw_flights(spark, SMALL), demo.raw_offers(spark, SMALL))
+    plan = plan_of(joined.select("id", "decision_timestamp", "usd_base_amount"))
+    assert plan.index("Join") < plan.index("rint(")
+    assert joined.columns[-2:] == ["usd_base_amount", "seats_available"]
+    assert joined.columns.index("decision_timestamp") == joined.columns.index("departure_timestamp") - 1
+
+
+def test_unique_rows_are_sent_once_and_no_wider_than_read(spark):
+    rows = offer_rows(spark, [{"id": 1}, {"id": 1}, {"id": 2}])
+    plan = plan_of(hygiene.unique_by(rows, "id").select("flight_number"))
+    assert "min(flight_number" in plan
+    for unwanted in ("min(conf_num", "min(struct(", "max(struct("):
+        assert unwanted not in plan
+
+
+def test_rows_that_differ_by_the_place_of_a_null_are_no_copies(spark):
+    one, other = {"available_count_24h": None, "available_count_48h": 6}, {"available_count_24h": 6, "available_count_48h": None}
+    rows = offer_rows(spark, [{"id": 1, **one}, {"id": 1, **other}, {"id": 2, **one}, {"id": 2, **one}, {"id": None}, {"id": None},
+                              {"id": None, "conf_num": None}])
+    got = hygiene.unique_by(rows, "id")
+    assert got.columns == rows.columns
+    assert bag(got) == bag(offer_rows(spark, [{"id": 2, **one}, {"id": None}, {"id": None, "conf_num": None}]))
+
+
+def test_keys_that_are_no_number_are_missing(spark):
+    rows = spark.createDataFrame([("a", 1.0), (None, 1.0), ("b", None), ("c", float("nan"))], "s string, x double")
+    assert [row["s"] for row in hygiene.has_key(rows, ["s", "x"]).collect()] == ["a"]
