@@ -125,3 +125,9 @@ def test_rows_that_differ_by_the_place_of_a_null_are_no_copies(spark):
 def test_keys_that_are_no_number_are_missing(spark):
     rows = spark.createDataFrame([("a", 1.0), (None, 1.0), ("b", None), ("c", float("nan"))], "s string, x double")
     assert [row["s"] for row in hygiene.has_key(rows, ["s", "x"]).collect()] == ["a"]
+
+
+def test_rates_of_one_reader_store_no_table(spark, monkeypatch):
+    monkeypatch.setattr(demo, "_written", {})
+    assert registry.QUERIES["target_rates"](spark, SMALL).count() > 0
+    assert not demo._written
