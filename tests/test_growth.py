@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.operators import enrich, hot, hygiene, learn
+from cabinlift.operators import encode, enrich, hot, hygiene, learn
 from cabinlift.plans import registry, update_snapshots
 from cabinlift.sources import demo, tables
 from tests.conftest import SMALL
@@ -131,3 +131,12 @@ def test_rates_of_one_reader_store_no_table(spark, monkeypatch):
     monkeypatch.setattr(demo, "_written", {})
     assert registry.QUERIES["target_rates"](spark, SMALL).count() > 0
     assert not demo._written
+
+
+def test_partitions_of_training_rows_grow_with_the_rows(spark, monkeypatch):
+    rows = spark.range(100).select("id", (F.col("id") % 50).cast("string").alias("c"), (F.col("id") % 2).alias("label"))
+    whole = bag(encode.ordered_target_rates(rows, "c", order=["id"]))
+    monkeypatch.setattr(encode, "TASK_ROWS", 10)
+    rated = encode.ordered_target_rates(rows, "c", order=["id"])
+    assert rated.rdd.getNumPartitions() == 10
+    assert bag(rated) == whole
