@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cabinlift import schema as S
-from cabinlift.operators import hygiene, snapshots
+from cabinlift.operators import enrich, hot, hygiene, snapshots
 from cabinlift.operators.timeline import HEAVY_AUCTION
 from cabinlift.session import build_session
 from cabinlift.sources import tables
@@ -41,6 +41,23 @@ def _unique(offers: DataFrame, min_travel_date: str | None, collapse_exact_dupli
     return written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
 
 
+def unique_of_stored(
+    typed: DataFrame, min_travel_date: str | None, collapse_exact_duplicates: bool = True, heavy_rows: int = hot.HEAVY_ROWS
+) -> DataFrame:
+    """A written copy of the unique offers of a table that is cheap to read.
+
+    Offers are dealt by flight and day, so that those of an auction lie side by
+    side, unless one flight and day has too many for a task.
+    """
+    near = enrich.FLIGHT_DAY
+    floored = hygiene.since(hygiene.has_key(typed), "travel_date", min_travel_date)
+    if not collapse_exact_duplicates or not hot.all_below(floored, near, heavy_rows):
+        near = []
+    dealt = floored.repartition(*near) if near else floored
+    unique = hygiene.unique_offers(dealt, min_travel_date, collapse_exact_duplicates, near)
+    return written(unique, "unique-offers", together=True)
+
+
 @dataclass(frozen=True)
 class Report:
     """What a run left out: auctions with several schedules, and values made null by column."""
@@ -69,7 +86,10 @@ def run(
             typed, counts = tables.conform_and_count(raw, S.ENRICHED_SNAPSHOT)
             if counts and not collapse_exact_duplicates:
                 typed = written(typed, "typed")  # read twice below, counted once
-        unique = written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
+        if counts:  # they come with one pass over the offers
+            unique = written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
+        else:
+            unique = unique_of_stored(typed, min_travel_date, collapse_exact_duplicates)
         made_null = {name: n for name, n in (counts.get if counts else {}).items() if n}
         rejects = written(hygiene.schedule_conflicts(unique), "rejects")
         left_out = {"rejects": rejects}

@@ -8,7 +8,7 @@ from pyspark.sql.types import DoubleType, IntegralType, StringType, StructType
 
 from cabinlift import schema as S
 from cabinlift.functions.times import month_start
-from cabinlift.sources.shared import written
+from cabinlift.sources.shared import tidy, written
 
 # Partition column of tables written by month.
 MONTH = "travel_month_start"
@@ -222,7 +222,8 @@ def write_parquet(
         writer = writer.partitionBy(*partition_by)
     if only_these_partitions:
         writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    with tidy(df.sparkSession):
+        writer.parquet(path)
 
 
 def write_by_month(df: DataFrame, path: str, date: str = "travel_date", only_these_months: bool = False) -> None:
@@ -243,4 +244,5 @@ def write_csv(df: DataFrame, path: str, compression: str | None = None) -> None:
     writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
     if compression:
         writer = writer.option("compression", compression).option("maxRecordsPerFile", PACKED_ROWS)
-    writer.csv(path)
+    with tidy(df.sparkSession):
+        writer.csv(path)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from cabinlift import schema as S
 from cabinlift.operators import encode, enrich, hot, hygiene, learn
-from cabinlift.plans import registry, update_snapshots
-from cabinlift.sources import demo, tables
+from cabinlift.plans import build_snapshots, registry, update_snapshots
+from cabinlift.sources import demo, shared, tables
 from tests.conftest import SMALL
 from tests.support import bag, offer_rows
 
@@ -140,3 +140,70 @@ def test_partitions_of_training_rows_grow_with_the_rows(spark, monkeypatch):
     rated = encode.ordered_target_rates(rows, "c", order=["id"])
     assert rated.rdd.getNumPartitions() == 10
     assert bag(rated) == whole
+
+
+def shuffle_files(spark) -> int:
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(found.apply(i).getName().startswith("shuffle_") for i in range(found.size()))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    rows = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+    setting = dict.fromkeys(shared.TIDY)
+    before, settings = shuffle_files(spark), {key: spark.conf.get(key, None) for key in setting}
+    shared.written(rows, "counts")
+    tables.write_parquet(rows, str(tmp_path / "rows"))
+    tables.write_csv(rows, str(tmp_path / "rows.csv"))
+    assert not hot.all_below(spark.range(1000), ["id"], 0)
+    assert shuffle_files(spark) <= before
+    assert settings == {key: spark.conf.get(key, None) for key in setting}
+
+
+# Copies, ids with other rows in the same and in other places, rows without an id.
+PLACED = [{"id": 1}, {"id": 1}, {"id": 2}, {"id": 2, "conf_num": None}, {"id": 3}, {"id": 3, "flight_number": "2"},
+          {"id": 4}, {"id": 4}, {"id": 4, "travel_date": None}, {"id": 5, "flight_number": "2"}, {"id": 0},
+          {"id": 6}, {"id": 6, "conf_num": None}, {"id": 6, "flight_number": "2"}, {"id": None}, {"id": None},
+          {"id": None, "conf_num": None}, {"id": None, "flight_number": "2"}]
+
+
+def test_ids_are_compared_from_place_to_place(spark):
+    rows = hygiene.has_key(offer_rows(spark, PLACED))
+    kept = [{"id": 1}, {"id": 4}, {"id": 5, "flight_number": "2"}, {"id": 0}, {"id": None}, {"id": None, "conf_num": None},
+            {"id": None, "flight_number": "2"}]
+    for dealt in (rows, rows.repartition(*enrich.FLIGHT_DAY)):
+        got = hygiene.unique_by(dealt, "id", near=enrich.FLIGHT_DAY)
+        assert got.columns == rows.columns
+        assert bag(got) == bag(offer_rows(spark, kept)) == bag(hygiene.unique_by(rows, "id"))
+    text = rows.withColumn("id", F.concat(F.lit("n"), F.col("id").cast("string")))
+    assert bag(hygiene.unique_by(text, "id", near=enrich.FLIGHT_DAY)) == bag(hygiene.unique_by(text, "id"))
+
+
+def exchanges(df) -> list[str]:
+    """What the plan shuffles by, in the plan at hand."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(df))
+
+
+def test_unique_rows_stay_where_the_join_put_them(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(demo, "_written", {})
+    monkeypatch.setattr(demo, "written", lambda df, name, together: plans.append((df, together)) or df)
+    demo.unique_offers(spark, SMALL)
+    (df, together), = plans
+    assert together
+    with shared.tidy(spark, **shared.TOGETHER):
+        keys = exchanges(df)
+    # Of all that is shuffled by id, or by flight and day and more, nothing is as wide as a row.
+    assert not [k for k in keys if "conf_num" in k or k.startswith("_near_") and "_id" in k]
+    wide = [line for line in plan_of(df).splitlines() if "Exchange" in line and "REPARTITION_BY_COL" in line]
+    assert len(wide) == 4  # offers and flights of each of two equal readings
+
+
+def test_stored_offers_are_dealt_by_flight_and_day_unless_one_has_too_many(spark):
+    rows = offer_rows(spark, PLACED)
+    whole = bag(hygiene.unique_offers(rows, None))
+    for heavy_rows in (2, 1000):
+        assert bag(build_snapshots.unique_of_stored(rows, None, heavy_rows=heavy_rows)) == whole
+    floored = bag(build_snapshots.unique_of_stored(rows, "2026-01-01"))
+    assert not floored
+    apart = build_snapshots.unique_of_stored(rows, None, collapse_exact_duplicates=False)
+    assert bag(apart) == bag(hygiene.unique_offers(rows, None, False))
