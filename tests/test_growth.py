@@ -207,3 +207,11 @@ def test_stored_offers_are_dealt_by_flight_and_day_unless_one_has_too_many(spark
     assert not floored
     apart = build_snapshots.unique_of_stored(rows, None, collapse_exact_duplicates=False)
     assert bag(apart) == bag(hygiene.unique_offers(rows, None, False))
+
+
+def test_training_rows_are_sent_without_what_their_inputs_come_from(spark, offers, monkeypatch):
+    sent = []
+    rated = encode.ordered_target_rates
+    monkeypatch.setattr(encode, "ordered_target_rates", lambda df, *args, **rest: sent.append(df.columns) or rated(df, *args, **rest))
+    learn.fit(learn.training_table(offers, demo.TEST_FROM), learn.Params(iterations=1, depth=1))
+    assert not {"id", "split", "usd_base_amount_max", "fare_class"} & set(sent[0])
