@@ -86,10 +86,10 @@ def run(
             typed, counts = tables.conform_and_count(raw, S.ENRICHED_SNAPSHOT)
             if counts and not collapse_exact_duplicates:
                 typed = written(typed, "typed")  # read twice below, counted once
-        if counts:  # they come with one pass over the offers
-            unique = written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
-        else:
+        if tables.as_declared(raw, S.ENRICHED_SNAPSHOT):
             unique = unique_of_stored(typed, min_travel_date, collapse_exact_duplicates)
+        else:  # what is parsed is read in one pass, which counts or raises
+            unique = written(hygiene.unique_offers(typed, min_travel_date, collapse_exact_duplicates), "unique-offers")
         made_null = {name: n for name, n in (counts.get if counts else {}).items() if n}
         rejects = written(hygiene.schedule_conflicts(unique), "rejects")
         left_out = {"rejects": rejects}

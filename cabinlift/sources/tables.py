@@ -167,6 +167,11 @@ def _may_fail(df: DataFrame, declared: StructType) -> list:
     return [f for f in declared.fields if f.name in df.columns and df.schema[f.name].dataType != f.dataType]
 
 
+def as_declared(df: DataFrame, declared: StructType) -> bool:
+    """Whether every declared column is stored with its type, so that nothing is parsed and no value fails."""
+    return not _may_fail(df, declared)
+
+
 def conform_and_count(df: DataFrame, declared: StructType) -> tuple[DataFrame, Observation | None]:
     """``conform`` without raising, and how many values of each column it makes null.
 

@@ -215,3 +215,9 @@ def test_training_rows_are_sent_without_what_their_inputs_come_from(spark, offer
     monkeypatch.setattr(encode, "ordered_target_rates", lambda df, *args, **rest: sent.append(df.columns) or rated(df, *args, **rest))
     learn.fit(learn.training_table(offers, demo.TEST_FROM), learn.Params(iterations=1, depth=1))
     assert not {"id", "split", "usd_base_amount_max", "fare_class"} & set(sent[0])
+
+
+def test_offers_that_are_parsed_are_read_in_one_pass(spark):
+    rows = offer_rows(spark, PLACED)
+    assert tables.as_declared(rows, S.ENRICHED_SNAPSHOT)
+    assert not tables.as_declared(rows.withColumn("item_count", F.col("item_count").cast("string")), S.ENRICHED_SNAPSHOT)
